@@ -13,10 +13,9 @@ from rotorline.operators.periods import (
     baseline_long,
     baseline_wide,
     compute_baseline,
-    detect_periods,
-    off_statistics,
     period_features,
 )
+from rotorline.session import materialize
 
 ANNOTATION = ("date", "pump_id", "period_start", "period_end", "duration_minutes", "classification", "reasons")
 
@@ -24,10 +23,11 @@ ANNOTATION = ("date", "pump_id", "period_start", "period_end", "duration_minutes
 def annotate(df: DataFrame, cfg: SystemConfig, baseline_root: DataFrame | None = None,
              exclude: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Two passes: baseline per pump, then every period classified."""
-    periods = detect_periods(df, cfg)
-    features = period_features(df, periods, cfg, extra)
+    # One row per period, read by the baseline and by the detectors: written once, so the
+    # readings are scanned once.
+    features = materialize(period_features(df, cfg, extra))
     if baseline_root is None and exclude is None:
-        base = baseline_long(features, off_statistics(df, periods, cfg), cfg)
+        base = baseline_long(features, cfg)
     else:
         base = compute_baseline(baseline_root if baseline_root is not None else df, cfg, exclude, extra)
     judged = classify(with_baseline(features, baseline_wide(base)), cfg)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotorline.functions.asof import asof_join
 from rotorline.functions.formulas import combined_severity, fuse, fusion_reason, rank_status, severity, status_rank
-from rotorline.functions.series import SEG, TS, ordered, runs, seconds, so_far
+from rotorline.functions.series import SEG, TS, ordered, runs, so_far
 
 # --- Fixed values -----------------------------------------------------------
 MIN_CONSECUTIVE = 2
@@ -88,7 +88,8 @@ def rate_limit(filtered: DataFrame, seconds_between: int = RATE_LIMIT_SECONDS, n
             (F.size(seen) == 0) | (t - F.element_at(seen, -1) >= gap), F.array_append(seen, t)
         ).otherwise(seen),
     )
-    alerts = times.select(*keys, F.timestamp_micros(F.explode(fired)).alias(TS), F.lit(1).alias("_fired"))
+    alerts = times.select(*keys, F.explode(fired).alias("_at"))
+    alerts = alerts.select(*keys, F.timestamp_micros("_at").alias(TS), F.lit(1).alias("_fired"))
     out = filtered.join(alerts, [*keys, TS], "left")
     return out.withColumn("alert_fired", F.coalesce("_fired", F.lit(0))).drop("_fired", "_hot", "_hot_run", "_hot_pos")
 
@@ -105,7 +106,3 @@ def day_flags(steps: DataFrame, status: str = "filtered_status", k: int = MIN_AL
     n = F.count(F.when(F.col(status).isin("WARNING", "ALARM"), 1))
     days = steps.groupBy(*SEG).agg(F.count(F.lit(1)).alias("n_steps"), n.alias("n_alert_steps"))
     return days.withColumn("flagged", (F.col("n_alert_steps") >= k).cast("int"))
-
-
-def elapsed(ts: str = TS) -> Column:
-    return seconds(ts)

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorline.config import SystemConfig
-from rotorline.functions.series import SEG, TS, ordered, plus_seconds, runs, seconds
-from rotorline.operators.quality import median_gap
+from rotorline.functions.series import SEG, TS, ordered, plus_seconds, seconds, so_far, whole
 
 # --- Fixed values -----------------------------------------------------------
 MAD_SCALE = 1.4826
@@ -23,61 +22,92 @@ STD_FLOOR = {"response_fast": 0.5, "response_slow": 0.5, "mean": 0.01, "var": 0.
 PERIOD = ("pump_id", "date", "period_id")
 
 
-def detect_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
-    """ON runs, merged over short gaps, long enough to count.
+def mark_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
+    """Rows with the operation periods of their segment in ``periods`` (array, in time order).
 
-    One row per period: ``start``, ``end``, ``duration_seconds``, ``n_rows`` (rows
-    between start and end, merged gaps included) and the segment's ``interval_s``.
+    ON runs are merged over short gaps and kept when long enough. A run opens a period
+    unless the gap to the ON row before it is short, so periods are numbered by a running
+    sum over the rows: one exchange, no join, no second scan.
     """
     th = cfg.thresholds
-    on = runs(df.select(*keys, ts, cfg.columns.speed), {"_on": F.col(cfg.columns.speed) > th.speed_on_threshold}, keys, ts)
-    blocks = on.where("_on").groupBy(*keys, "_on_run").agg(
-        F.min(ts).alias("start"), F.max(ts).alias("end"), F.min("_rn").alias("_a"), F.max("_rn").alias("_b")
-    )
-    blocks = blocks.join(median_gap(df, keys, ts), list(keys))
-    w = ordered(keys, "start")
-    gap = seconds("start") - seconds(F.lag("end").over(w)) - F.col("interval_s")
-    opens = F.when(gap <= th.gap_merge_threshold, 0).otherwise(1)
-    merged = blocks.withColumn("_open", opens).withColumn("_merged", F.sum("_open").over(w))
-    out = merged.groupBy(*keys, "_merged").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        (F.max("_b") - F.min("_a") + 1).alias("n_rows"), F.max("interval_s").alias("interval_s"),
-    )
+    w = ordered(keys, ts)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({
+        "_on": F.coalesce(F.col(cfg.columns.speed) > th.speed_on_threshold, F.lit(False)),
+        "_gap": seconds(ts) - seconds(F.lag(ts).over(w)),
+        "_rn": F.row_number().over(w),
+    })
+    usual = F.median("_gap").over(whole(keys))
+    out = out.withColumns({
+        "interval_s": F.when(usual > 0, usual).otherwise(5.0),
+        "_was_on": F.coalesce(F.lag("_on").over(w), F.lit(False)),
+        "_last_on": F.last(F.when(F.col("_on"), F.col(ts)), ignorenulls=True).over(before),
+    })
+    pause = seconds(ts) - seconds("_last_on") - F.col("interval_s")
+    opens = F.col("_on") & ~F.col("_was_on") & (F.col("_last_on").isNull() | (pause > th.gap_merge_threshold))
+    out = out.withColumn("_open", opens).withColumn("_no", F.sum(F.col("_open").cast("int")).over(so_far(w)))
+    own = Window.partitionBy(*keys, "_no")
+    on_ts, on_rn = F.when(F.col("_on"), F.col(ts)), F.when(F.col("_on"), F.col("_rn"))
+    out = out.withColumns({
+        "_start": F.min(on_ts).over(own), "_end": F.max(on_ts).over(own),
+        "_rows": F.max(on_rn).over(own) - F.min(on_rn).over(own) + 1,
+    })
+    duration = seconds("_end") - seconds("_start") + F.col("interval_s")
     needed = F.when(
         F.col("interval_s") >= COARSE_SECONDS, F.greatest(F.lit(th.min_period_duration), F.col("interval_s") * 3.0)
     ).otherwise(th.min_period_duration)
-    out = out.withColumn("duration_seconds", seconds("end") - seconds("start") + F.col("interval_s"))
-    out = out.where(F.col("duration_seconds") >= needed)
-    return out.select(
-        *keys, F.row_number().over(w).alias("period_id"), "start", "end", "duration_seconds", "n_rows", "interval_s"
+    entry = F.struct(
+        F.col("_start").alias("start"), F.col("_end").alias("end"), duration.alias("duration_seconds"), F.col("_rows").alias("n_rows")
     )
+    found = F.collect_list(F.when(F.col("_open") & (duration >= needed), entry)).over(whole(keys))
+    out = out.withColumn("periods", F.sort_array(found))
+    return out.drop("_on", "_gap", "_rn", "_was_on", "_last_on", "_open", "_no", "_start", "_end", "_rows")
 
 
-def period_rows(df: DataFrame, periods: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG,
-                ts: str = TS) -> DataFrame:
-    """Rows of each segment up to ``off_window_seconds`` after the period, with the flags detectors need.
+def detect_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
+    """One row per period: ``start``, ``end``, ``duration_seconds``, ``n_rows`` (rows between start and end,
+    merged gaps included) and the segment's ``interval_s``."""
+    marked = mark_periods(df.select(*keys, ts, cfg.columns.speed), cfg, keys, ts)
+    per_segment = marked.groupBy(*keys).agg(F.first("periods").alias("periods"), F.max("interval_s").alias("interval_s"))
+    return _each_period(per_segment, keys, ["interval_s"])
 
-    The join carries the segment equality next to the time range, so it stays an
-    equi-join with a residual condition.
-    """
+
+def _each_period(df: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    out = df.select(*keys, *carry, F.posexplode("periods").alias("_at", "_p"))
+    return out.select(*keys, (F.col("_at") + 1).alias("period_id"), "_p.*", *carry)
+
+
+def period_rows(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
+    """Each period with the rows of its segment up to ``off_window_seconds`` after it and the flags detectors need."""
     th, speed = cfg.thresholds, F.col(cfg.columns.speed)
-    joined = df.join(periods, list(keys)).where(F.col(ts) <= plus_seconds(F.col("end"), th.off_window_seconds))
+    p_off = cfg.columns.pressure_off
+    marked = mark_periods(df, cfg, keys, ts)
+    margin = th.near_period_seconds
+    near = F.exists("periods", lambda p: F.col(ts).between(plus_seconds(p["start"], -margin), plus_seconds(p["end"], margin)))
+    apart = (speed == 0) & ~near
+    pressure = F.col(p_off) if p_off in df.columns else F.lit(None).cast("double")
+    marked = marked.withColumns({
+        "segment_pressure_off": F.avg(F.when(apart, pressure)).over(whole(keys)),
+        "segment_current_off": F.avg(F.when(apart, F.col(cfg.columns.current))).over(whole(keys)),
+        "segment_off_rows": F.count(F.when(apart, 1)).over(whole(keys)),
+    })
+    joined = _each_period(marked, keys, [c for c in marked.columns if c not in (*keys, "periods")])
+    joined = joined.where(F.col(ts) <= plus_seconds(F.col("end"), th.off_window_seconds))
     t, start, end = F.col(ts), F.col("start"), F.col("end")
     inside = (t >= start) & (t <= end)
     steady_from, steady_to = plus_seconds(start, th.ramp_exclude_seconds), plus_seconds(end, -th.ramp_exclude_seconds)
     per = Window.partitionBy(*keys, "period_id")
-    run = per.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     stopped = F.coalesce(speed == 0, F.lit(False))
     out = joined.withColumns({
         "_in": inside,
         "_cand": inside & (t >= steady_from) & (t <= steady_to),
-        "_before": (t >= plus_seconds(start, -th.off_window_seconds)) & (t < start) & stopped,
-        "_after": (t > end) & stopped,
+        "off_before": (t >= plus_seconds(start, -th.off_window_seconds)) & (t < start) & stopped,
+        "off_after": (t > end) & stopped,
         "_was_on": F.when((t < start) & (F.coalesce(speed, F.lit(0.0)) > th.speed_on_threshold), t),
         "_wide": (seconds(steady_to) - seconds(steady_from)) >= STEADY_MIN_SECONDS,
     })
     out = out.withColumns({
-        "_pos": F.sum(F.col("_in").cast("int")).over(run) - 1,
+        "_pos": F.sum(F.col("_in").cast("int")).over(so_far(per.orderBy(ts))) - 1,
         "_n_in": F.sum(F.col("_in").cast("int")).over(per),
         "_has_cand": F.max(F.col("_cand").cast("int")).over(per) == 1,
         "_last_on": F.max("_was_on").over(per),
@@ -89,19 +119,17 @@ def period_rows(df: DataFrame, periods: DataFrame, cfg: SystemConfig, keys: Sequ
     since = F.col("_last_on").isNull() | (t >= plus_seconds(F.col("_last_on"), th.near_period_seconds))
     return out.withColumns({
         "steady": F.when(F.col("_wide") & F.col("_has_cand"), F.col("_cand")).otherwise(middle),
-        "off_before": F.col("_before"),
-        "off_after": F.col("_after"),
         "off_extended": quiet & (t < start) & since,
         "off_after_extended": quiet & (t > end),
-    }).drop("_in", "_cand", "_before", "_after", "_was_on", "_wide", "_pos", "_n_in", "_has_cand", "_last_on")
+    }).drop("_in", "_cand", "_was_on", "_wide", "_pos", "_n_in", "_has_cand", "_last_on")
 
 
 def _when(flag: str, value: Column) -> Column:
     return F.when(F.col(flag), value)
 
 
-def period_features(df: DataFrame, periods: DataFrame, cfg: SystemConfig, extra: Sequence[str] = (),
-                    keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
+def period_features(df: DataFrame, cfg: SystemConfig, extra: Sequence[str] = (), keys: Sequence[str] = SEG,
+                    ts: str = TS) -> DataFrame:
     """One wide row per period: everything the baseline and the detectors read.
 
     ``mean_/std_/max_/cnt_<channel>`` over steady rows, plus OFF-state aggregates.
@@ -111,7 +139,7 @@ def period_features(df: DataFrame, periods: DataFrame, cfg: SystemConfig, extra:
         [c.speed, c.current, *([c.pressure] if c.pressure else []), *c.baseline_channels, *c.vibrations, *extra]
     ))
     channels = [name for name in channels if name in df.columns]
-    rows = period_rows(df, periods, cfg, keys, ts)
+    rows = period_rows(df, cfg, keys, ts)
     speed, current = F.col(c.speed), F.col(c.current)
     aggs: list[Column] = [F.sum(F.col("steady").cast("int")).alias("n_steady")]
     for name in channels:
@@ -138,6 +166,9 @@ def period_features(df: DataFrame, periods: DataFrame, cfg: SystemConfig, extra:
         F.sum(F.col("off_after").cast("int")).alias("n_off_after"),
         F.sum(any_off.cast("int")).alias("n_off"),
         F.median(F.when(any_off, current)).alias("median_off_current"),
+        F.max("segment_pressure_off").alias("segment_pressure_off"),
+        F.max("segment_current_off").alias("segment_current_off"),
+        F.max("segment_off_rows").alias("segment_off_rows"),
     ]
     if p_off:
         p = F.col(p_off)
@@ -164,24 +195,15 @@ WINDINGS = (
 WINDING_LIMIT = 200.0
 
 
-def off_statistics(df: DataFrame, periods: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG,
-                   ts: str = TS) -> DataFrame:
+def off_statistics(features: DataFrame, keys: Sequence[str] = SEG) -> DataFrame:
     """Per segment with periods: mean OFF pressure and current, away from every period."""
-    margin = cfg.thresholds.near_period_seconds
-    off = df.where(F.col(cfg.columns.speed) == 0).join(periods.select(*keys).distinct(), list(keys), "left_semi")
-    near = periods.select(
-        *keys, plus_seconds(F.col("start"), -margin).alias("_from"), plus_seconds(F.col("end"), margin).alias("_to")
+    first = features.where((F.col("period_id") == 1) & (F.col("segment_off_rows") > 0))
+    return first.select(
+        *keys, F.col("segment_pressure_off").alias("pressure_off"), F.col("segment_current_off").alias("current_off")
     )
-    o, n = off.alias("o"), near.alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
-    on.append(F.col(f"o.{ts}").between(F.col("n._from"), F.col("n._to")))
-    apart = o.join(n, on, "left_anti")
-    p_off = cfg.columns.pressure_off
-    pressure = F.avg(p_off) if p_off in df.columns else F.lit(None).cast("double")
-    return apart.groupBy(*keys).agg(pressure.alias("pressure_off"), F.avg(cfg.columns.current).alias("current_off"))
 
 
-def _observations(features: DataFrame, off: DataFrame, cfg: SystemConfig) -> DataFrame:
+def _observations(features: DataFrame, cfg: SystemConfig) -> DataFrame:
     """Long (pump_id, kind, name, value): one row per thing the baseline learns from."""
     c = cfg.columns
 
@@ -205,10 +227,14 @@ def _observations(features: DataFrame, off: DataFrame, cfg: SystemConfig) -> Dat
     for name in c.vibrations:
         if f"mean_{name}" in have:
             items += [obs("vib", name, F.col(f"mean_{name}")), obs("vib_max", name, F.col(f"max_{name}"))]
+    # OFF values belong to the segment: its first period speaks for it.
+    first = F.col("period_id") == 1
+    items += [
+        obs("pressure_off", "", F.when(first, F.col("segment_pressure_off"))),
+        obs("current_off", "", F.when(first, F.col("segment_current_off"))),
+    ]
     long = features.select("pump_id", F.explode(F.array(*items)).alias("_obs")).select("pump_id", "_obs.*")
-    rest = F.array(obs("pressure_off", "", F.col("pressure_off")), obs("current_off", "", F.col("current_off")))
-    off_long = off.select("pump_id", F.explode(rest).alias("_obs")).select("pump_id", "_obs.*")
-    return long.unionByName(off_long).where(F.col("value").isNotNull())
+    return long.where(F.col("value").isNotNull())
 
 
 def robust(df: DataFrame, keys: Sequence[str], value: str, floor: Column | float = 0.0) -> DataFrame:
@@ -223,7 +249,7 @@ def robust(df: DataFrame, keys: Sequence[str], value: str, floor: Column | float
     ).withColumn("robust_std", F.greatest(F.col("_mad"), floor if isinstance(floor, Column) else F.lit(float(floor)))).drop("_mad")
 
 
-def baseline_long(features: DataFrame, off: DataFrame, cfg: SystemConfig) -> DataFrame:
+def baseline_long(features: DataFrame, cfg: SystemConfig) -> DataFrame:
     """Baseline as (pump_id, kind, name, median, robust_std, q25, q95, n_obs).
 
     A group holds one value per operation period of one pump.
@@ -231,7 +257,7 @@ def baseline_long(features: DataFrame, off: DataFrame, cfg: SystemConfig) -> Dat
     floor = F.lit(0.0)
     for kind, value in STD_FLOOR.items():
         floor = F.when(F.col("kind") == kind, value).otherwise(floor)
-    return robust(_observations(features, off, cfg), ["pump_id", "kind", "name"], "value", floor)
+    return robust(_observations(features, cfg), ["pump_id", "kind", "name"], "value", floor)
 
 
 def baseline_wide(long: DataFrame) -> DataFrame:
@@ -245,8 +271,7 @@ def compute_baseline(df: DataFrame, cfg: SystemConfig, exclude: DataFrame | None
                      extra: Sequence[str] = ()) -> DataFrame:
     """Baseline of every pump, from any root, without the segments listed in ``exclude``."""
     rows = df.join(exclude.select(*SEG).distinct(), list(SEG), "left_anti") if exclude is not None else df
-    periods = detect_periods(rows, cfg)
-    return baseline_long(period_features(rows, periods, cfg, extra), off_statistics(rows, periods, cfg), cfg)
+    return baseline_long(period_features(rows, cfg, extra), cfg)
 
 
 def refine_baseline(df: DataFrame, cfg: SystemConfig, abnormal: DataFrame, min_segments: int = 50) -> DataFrame:

@@ -12,6 +12,7 @@ from rotorline.plans import sql as S
 from rotorline.plans import views as V
 from rotorline.plans.catalog_sources import annotations
 from rotorline.plans.registry import query, shape
+from rotorline.session import materialize
 from rotorline.sources import sinks, tables
 
 Spark = SparkSession
@@ -199,8 +200,7 @@ def operation_periods(spark: Spark, sf: str) -> DataFrame:
 
 @query("per_02_steady_rows", S.with_(("prow",), f"SELECT {S.STEPS}, {S.i('period_id')}, {S.r('speed')} FROM prow WHERE steady"))
 def steady_rows(spark: Spark, sf: str) -> DataFrame:
-    m = V.machine(spark, sf)
-    rows = periods.period_rows(m, periods.detect_periods(m, V.SYSTEM), V.SYSTEM).where("steady")
+    rows = periods.period_rows(V.machine(spark, sf), V.SYSTEM).where("steady")
     return shape(rows, ["pump_id", "date", "ts", "period_id", "speed"])
 
 
@@ -212,13 +212,11 @@ def robust_spread(spark: Spark, sf: str) -> DataFrame:
 
 @query("per_04_off_statistics", S.with_(("offs",), f"SELECT {S.SEGS}, {S.rs(['pressure_off', 'current_off'])} FROM offs"))
 def off_statistics(spark: Spark, sf: str) -> DataFrame:
-    m = V.machine(spark, sf)
-    return shape(periods.off_statistics(m, periods.detect_periods(m, V.SYSTEM), V.SYSTEM))
+    return shape(periods.off_statistics(features(spark, sf)))
 
 
 def features(spark: Spark, sf: str) -> DataFrame:
-    m = V.machine(spark, sf)
-    return periods.period_features(m, periods.detect_periods(m, V.SYSTEM), V.SYSTEM, V.EXTRA)
+    return periods.period_features(V.machine(spark, sf), V.SYSTEM, V.EXTRA)
 
 
 @query("per_05_off_variability", S.with_(("feat",), f"SELECT {S.SEGS}, {S.i('period_id')}, {S.i('n_off')}, {S.r('off_std')}, {S.r('ob_mean', 'off_before_mean')} FROM feat WHERE n_off >= 2"))
@@ -262,11 +260,8 @@ def baseline_without_abnormal(spark: Spark, sf: str) -> DataFrame:
 
 
 def _joined(spark: Spark, sf: str) -> DataFrame:
-    m = V.machine(spark, sf)
-    found = periods.detect_periods(m, V.SYSTEM)
-    f = periods.period_features(m, found, V.SYSTEM, V.EXTRA)
-    base = periods.baseline_long(f, periods.off_statistics(m, found, V.SYSTEM), V.SYSTEM)
-    return detectors.with_baseline(f, periods.baseline_wide(base))
+    f = materialize(features(spark, sf))
+    return detectors.with_baseline(f, periods.baseline_wide(periods.baseline_long(f, V.SYSTEM)))
 
 
 def _sd(key: str, floor: float = 1e-6) -> str:

@@ -18,6 +18,7 @@ from rotorline.functions.series import SEG
 from rotorline.operators.features import fill_with_mean, norm_params, normalize, params_struct, smooth
 from rotorline.operators.quality import bucket_start
 from rotorline.operators.scoring import SpeedLine, residuals, window_error
+from rotorline.session import materialize
 
 STEP = 3 * 3600
 USERS_PER_PUMP = 40
@@ -130,18 +131,24 @@ def tagged(df: DataFrame) -> DataFrame:
     })
 
 
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled readings for plans that read them several times: the raw table is scanned once."""
+    return materialize(tagged(readings(spark, sf_dir)))
+
+
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = tagged(readings(spark, sf_dir))
+    r = grid(spark, sf_dir)
     return SpeedLine("speed", OUTPUTS).fit(r).transform(r)
 
 
 def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residuals(predicted(spark, sf_dir), OUTPUTS)
+    """Complete residual rows; calibration and scoring both read them, so they are written once."""
+    return materialize(residuals(predicted(spark, sf_dir), OUTPUTS))
 
 
 def smoothed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled (training mean of normal rows) and smoothed channels of days with at least five rows."""
-    r = tagged(readings(spark, sf_dir))
+    r = grid(spark, sf_dir)
     means = params_struct(norm_params(r.where(F.col("label") == "normal"), FILLED), FILLED).scalar()
     held = r.withColumn("_m", means)
     filled = fill_with_mean(held, FILLED, {c: F.col("_m")[c]["mean"] for c in FILLED}).drop("_m")
@@ -149,7 +156,7 @@ def smoothed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = smoothed_rows(spark, sf_dir)
+    s = materialize(smoothed_rows(spark, sf_dir))
     return normalize(s, norm_params(s.where(F.col("label") == "normal"), FILLED), FILLED, "z-score")
 
 
