@@ -317,7 +317,8 @@ def holdout_check(opt: DataFrame, holdout: DataFrame, thresholds: DataFrame, bes
 def against_baseline(flags: DataFrame, baseline: DataFrame, fa_delta: float, detection_tolerance: float) -> DataFrame:
     """Rates next to a baseline table (pump_id NULL = overall) and whether each gate holds."""
     now = rates(flags)
-    joined = now.join(baseline, F.equal_null(now["pump_id"], baseline["pump_id"]), "left").drop(baseline["pump_id"])
+    table = baseline.select(F.col("pump_id").alias("_pump"), "base_fa", "base_det")
+    joined = now.join(table, F.equal_null(F.col("pump_id"), F.col("_pump")), "left").drop("_pump")
     fa_ok = F.col("fa_rate") <= F.col("base_fa") + fa_delta
     det_ok = F.col("base_det") - F.col("detection_rate") <= detection_tolerance
     gate = F.when(F.col("pump_id").isNull(), fa_ok).otherwise(det_ok)
