@@ -24,7 +24,7 @@ def asof_join(
     ts: str = "ts",
     direction: str = "nearest",
     matched_ts: str | None = None,
-    slot_seconds: float = 6 * 3600,
+    slot_seconds: float | None = None,
 ) -> DataFrame:
     """Keep every left row; add ``values`` of the matching right row.
 
@@ -35,7 +35,7 @@ def asof_join(
     if direction not in ("nearest", "backward"):
         raise ValueError("direction must be 'nearest' or 'backward'")
     keys, values = list(keys), list(values)
-    width = int(max(slot_seconds, tolerance_seconds) * 1e6)
+    width = int(max(slot_seconds or 4 * tolerance_seconds, tolerance_seconds, 60.0) * 1e6)
     reach = int(tolerance_seconds * 1e6)
     left_columns = left.columns
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorline.config import SelectorRule, SystemConfig
+from rotorline.functions.ordered import running_totals
 from rotorline.operators.detectors import classify, with_baseline
 from rotorline.operators.periods import (
     baseline_long,
@@ -134,24 +135,21 @@ def error_examples(annotations: DataFrame, per_reason: int = 3) -> DataFrame:
     """Up to ``per_reason`` abnormal periods per base reason.
 
     First the earliest row of each pump (by its first appearance), then rows spread
-    evenly over the date order, then the earliest left. A reason may cover a third
-    of all periods, so ranks over dates are not taken in one window: each day's
-    count gives the rank offset, and only candidates reach the final ordering.
+    evenly over the date order, then the earliest left. A reason may cover a third of
+    all periods, so places are not taken in one window: the places before a (reason,
+    day, pump) come from the distributed running totals, the place inside it from its
+    few periods, and only candidates reach the final ordering.
     """
     bad = annotations.where(F.col("classification") == "abnormal").select(
         "date", "pump_id", "period_start", "period_end",
         F.explode(F.array_distinct(base_reasons(F.col("reasons")))).alias("reason"),
     )
-    day = Window.partitionBy("reason", "date").orderBy("pump_id", "period_start")
-    placed = bad.withColumn("_in_day", F.row_number().over(day) - 1)
-    per_day = bad.groupBy("reason", "date").agg(F.count(F.lit(1)).alias("_c"))
-    by_date = Window.partitionBy("reason").orderBy("date")
-    offsets = per_day.select(
-        "reason", "date",
-        (F.sum("_c").over(by_date.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_off"),
-        F.sum("_c").over(Window.partitionBy("reason")).alias("_n"),
-    )
-    ranked = placed.join(offsets, ["reason", "date"]).withColumn("_idx", F.col("_in_day") + F.col("_off"))
+    bad = bad.withColumn("_order", F.datediff("date", F.lit("1970-01-01").cast("date")) * float(2**31) + F.col("pump_id"))
+    totals = running_totals(bad, ["reason"], "_order", {"c": F.lit(1)})
+    offsets = totals.select("reason", "_order", (F.col("cum_c") - F.col("c")).alias("_off"), F.col("all_c").alias("_n"))
+    inside = Window.partitionBy("reason", "date", "pump_id").orderBy("period_start")
+    placed = bad.withColumn("_in_day", F.row_number().over(inside) - 1)
+    ranked = placed.join(offsets, ["reason", "_order"]).withColumn("_idx", F.col("_in_day") + F.col("_off")).drop("_order")
 
     firsts = ranked.groupBy("reason", "pump_id").agg(F.min("_idx").alias("_idx"))
     # Only the first few pumps of a reason can be picked: a bounded per-task top-k before the window.

@@ -134,11 +134,12 @@ def distance_thresholds(distances: DataFrame, keys: Sequence[str] = SCOPE, value
 
 
 def calibrate(res: DataFrame, channels: Sequence[str], seasonal: bool = False,
-              min_samples: int = MIN_SAMPLES) -> DataFrame:
+              min_samples: int = MIN_SAMPLES, features: bool = True) -> DataFrame:
     """Threshold blocks per scope: distances under the scope's own covariance, fallback to the scope's
     parent (global of the same season) when it has fewer than ``min_samples`` rows.
 
     The pump blocks publish no covariance: scoring them uses the diagonal inverse.
+    ``features=False`` leaves out the per-channel statistics (only channel health reads them).
     """
     from rotorline.operators.scoring import distance
 
@@ -147,13 +148,12 @@ def calibrate(res: DataFrame, channels: Sequence[str], seasonal: bool = False,
     joined = scoped.join(blocks.select(*SCOPE, "mean_vec", "cov_inv"), list(SCOPE))
     scored = joined.withColumn("distance", distance(channels, F.col("mean_vec"), F.col("cov_inv")))
     th = distance_thresholds(scored.select(*SCOPE, "distance"))
-    stats = feature_statistics(scoped, channels)
-    parts = F.struct("mean_residual", "std_residual", "p95_abs", "p99_abs", "z_warning", "z_alarm")
-    per_feature = stats.groupBy(*SCOPE).agg(*[F.max(F.when(F.col("channel") == c, parts)).alias(f"_f_{c}") for c in channels])
-    full = blocks.select(*SCOPE, "mean_vec", "std_vec", "cov_inv").join(th, list(SCOPE)).join(per_feature, list(SCOPE))
-    full = full.withColumn("per_feature", F.struct(*[F.col(f"_f_{c}").alias(c) for c in channels])).drop(
-        *[f"_f_{c}" for c in channels]
-    )
+    full = blocks.select(*SCOPE, "mean_vec", "std_vec", "cov_inv").join(th, list(SCOPE))
+    if features:
+        stats = feature_statistics(scoped, channels)
+        parts = F.struct("mean_residual", "std_residual", "p95_abs", "p99_abs", "z_warning", "z_alarm")
+        named = stats.groupBy(*SCOPE).agg(*[F.max(F.when(F.col("channel") == c, parts)).alias(c) for c in channels])
+        full = full.join(named.select(*SCOPE, F.struct(*channels).alias("per_feature")), list(SCOPE))
     is_pump = F.col("scope_pump") != GLOBAL
     full = full.withColumn(
         "cov_inv", F.when(is_pump, diagonal_inverse(channels, F.col("std_vec"))).otherwise(F.col("cov_inv"))
@@ -165,14 +165,13 @@ _BLOCK = ("mean_vec", "std_vec", "cov_inv", "warning", "alarm", "mean", "std", "
 
 
 def _fall_back(full: DataFrame, min_samples: int) -> DataFrame:
-    parent = full.where(F.col("scope_pump") == GLOBAL).select(
-        "scope_season", *[F.col(c).alias(f"_g_{c}") for c in _BLOCK]
-    )
+    names = [c for c in _BLOCK if c in full.columns]
+    parent = full.where(F.col("scope_pump") == GLOBAL).select("scope_season", *[F.col(c).alias(f"_g_{c}") for c in names])
     weak = (F.col("scope_pump") != GLOBAL) & (F.col("n") < min_samples)
     out = full.join(parent, "scope_season").withColumn("fallback", weak)
     return out.withColumns({
-        c: F.when(F.col("fallback"), F.col(f"_g_{c}")).otherwise(F.col(c)) for c in _BLOCK
-    }).drop(*[f"_g_{c}" for c in _BLOCK])
+        c: F.when(F.col("fallback"), F.col(f"_g_{c}")).otherwise(F.col(c)) for c in names
+    }).drop(*[f"_g_{c}" for c in names])
 
 
 def resolve_blocks(keys: DataFrame, blocks: DataFrame, columns: Sequence[str]) -> DataFrame:

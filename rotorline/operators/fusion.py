@@ -48,7 +48,7 @@ def overall(days: DataFrame) -> DataFrame:
 def align_windows(windows: DataFrame, steps: DataFrame, reach_seconds: float) -> DataFrame:
     """Level 1 step at or before each window end, within the window; none gives NORMAL and 0."""
     right = steps.select(*SEG, TS, F.col("distance").alias("l1_distance"), F.col("status").alias("l1_status"))
-    joined = asof_join(windows, right, SEG, ["l1_distance", "l1_status"], reach_seconds, direction="backward", slot_seconds=86400)
+    joined = asof_join(windows, right, SEG, ["l1_distance", "l1_status"], reach_seconds, direction="backward")
     return joined.withColumns({
         "l1_distance": F.coalesce("l1_distance", F.lit(0.0)), "l1_status": F.coalesce("l1_status", F.lit("NORMAL")),
     })

@@ -57,7 +57,8 @@ def mark_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts
         F.col("interval_s") >= COARSE_SECONDS, F.greatest(F.lit(th.min_period_duration), F.col("interval_s") * 3.0)
     ).otherwise(th.min_period_duration)
     entry = F.struct(
-        F.col("_start").alias("start"), F.col("_end").alias("end"), duration.alias("duration_seconds"), F.col("_rows").alias("n_rows")
+        F.col("_start").alias("start"), F.col("_end").alias("end"), duration.alias("duration_seconds"),
+        F.col("_rows").alias("n_rows"), F.col("_last_on").alias("on_before"),
     )
     found = F.collect_list(F.when(F.col("_open") & (duration >= needed), entry)).over(whole(keys))
     out = out.withColumn("periods", F.sort_array(found))
@@ -74,7 +75,7 @@ def detect_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG,
 
 def _each_period(df: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
     out = df.select(*keys, *carry, F.posexplode("periods").alias("_at", "_p"))
-    return out.select(*keys, (F.col("_at") + 1).alias("period_id"), "_p.*", *carry)
+    return out.select(*keys, (F.col("_at") + 1).alias("period_id"), "_p.*", *carry).drop("on_before")
 
 
 def period_rows(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
@@ -91,8 +92,16 @@ def period_rows(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts:
         "segment_current_off": F.avg(F.when(apart, F.col(cfg.columns.current))).over(whole(keys)),
         "segment_off_rows": F.count(F.when(apart, 1)).over(whole(keys)),
     })
-    joined = _each_period(marked, keys, [c for c in marked.columns if c not in (*keys, "periods")])
-    joined = joined.where(F.col(ts) <= plus_seconds(F.col("end"), th.off_window_seconds))
+    # A row belongs to the period it lies in, to the OFF windows around it, and to the stretch after the last
+    # ON row before the next period: a few periods, never every period of the segment.
+    numbered = F.transform("periods", lambda p, i: F.struct((i + 1).alias("period_id"), p.alias("p")))
+    window = th.off_window_seconds
+    own = F.filter(numbered, lambda x: (F.col(ts) <= plus_seconds(x["p"]["end"], window)) & (
+        (F.col(ts) >= plus_seconds(x["p"]["start"], -window)) | x["p"]["on_before"].isNull()
+        | (F.col(ts) >= plus_seconds(x["p"]["on_before"], margin))))
+    joined = marked.withColumn("_x", F.explode(own)).select(
+        "*", "_x.period_id", "_x.p.start", "_x.p.end", "_x.p.duration_seconds", "_x.p.n_rows", F.col("_x.p.on_before").alias("_last_on")
+    ).drop("_x", "periods")
     t, start, end = F.col(ts), F.col("start"), F.col("end")
     inside = (t >= start) & (t <= end)
     steady_from, steady_to = plus_seconds(start, th.ramp_exclude_seconds), plus_seconds(end, -th.ramp_exclude_seconds)
@@ -103,14 +112,12 @@ def period_rows(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts:
         "_cand": inside & (t >= steady_from) & (t <= steady_to),
         "off_before": (t >= plus_seconds(start, -th.off_window_seconds)) & (t < start) & stopped,
         "off_after": (t > end) & stopped,
-        "_was_on": F.when((t < start) & (F.coalesce(speed, F.lit(0.0)) > th.speed_on_threshold), t),
         "_wide": (seconds(steady_to) - seconds(steady_from)) >= STEADY_MIN_SECONDS,
     })
     out = out.withColumns({
         "_pos": F.sum(F.col("_in").cast("int")).over(so_far(per.orderBy(ts))) - 1,
         "_n_in": F.sum(F.col("_in").cast("int")).over(per),
         "_has_cand": F.max(F.col("_cand").cast("int")).over(per) == 1,
-        "_last_on": F.max("_was_on").over(per),
     })
     low = F.floor(F.col("_n_in") * 0.25)
     high = F.greatest(F.ceil(F.col("_n_in") * 0.75), F.least(F.col("_n_in"), low + 1))
@@ -121,7 +128,7 @@ def period_rows(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts:
         "steady": F.when(F.col("_wide") & F.col("_has_cand"), F.col("_cand")).otherwise(middle),
         "off_extended": quiet & (t < start) & since,
         "off_after_extended": quiet & (t > end),
-    }).drop("_in", "_cand", "_was_on", "_wide", "_pos", "_n_in", "_has_cand", "_last_on")
+    }).drop("_in", "_cand", "_wide", "_pos", "_n_in", "_has_cand", "_last_on")
 
 
 def _when(flag: str, value: Column) -> Column:

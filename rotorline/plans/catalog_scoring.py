@@ -160,19 +160,20 @@ def history_datasets(spark: Spark, sf: str) -> DataFrame:
 # --- level 1 -----------------------------------------------------------------
 
 
-def l1_blocks(res: DataFrame, seasonal: bool = False) -> DataFrame:
-    return materialize(K.calibrate(res.where(F.col("label") == "normal"), V.OUTPUTS, seasonal))
+def l1_blocks(res: DataFrame, seasonal: bool = False, features: bool = False) -> DataFrame:
+    return materialize(K.calibrate(res.where(F.col("label") == "normal"), V.OUTPUTS, seasonal, features=features))
 
 
-def l1_steps(spark: Spark, sf: str) -> DataFrame:
+def l1_steps(spark: Spark, sf: str, g: DataFrame | None = None, features: bool = False) -> DataFrame:
     """Level 1 scores under the all-year blocks."""
-    res = V.residual_rows(spark, sf)
-    blocks = K.resolve_blocks(res, l1_blocks(res), ["mean_vec", "std_vec", "cov_inv", "warning", "alarm", "mean", "per_feature"])
+    res = V.residual_rows(spark, sf, g)
+    columns = ["mean_vec", "std_vec", "cov_inv", "warning", "alarm", "mean", *(["per_feature"] if features else [])]
+    blocks = K.resolve_blocks(res, l1_blocks(res, features=features), columns)
     return C.score_steps(res.join(blocks, ["pump_id", "season"]), V.OUTPUTS)
 
 
-def l1_days(spark: Spark, sf: str) -> DataFrame:
-    return C.level1_days(l1_steps(spark, sf))
+def l1_days(spark: Spark, sf: str, g: DataFrame | None = None) -> DataFrame:
+    return C.level1_days(l1_steps(spark, sf, g))
 
 
 @query("sco_01_ml_predictor")
@@ -244,7 +245,7 @@ S.cte("healths", ("l1_steps", "fblock", "blocks1"), """SELECT pump_id, date, ts,
 
 
 def _healths(spark: Spark, sf: str) -> DataFrame:
-    return C.channel_healths(l1_steps(spark, sf), V.OUTPUTS)
+    return C.channel_healths(l1_steps(spark, sf, features=True), V.OUTPUTS)
 
 
 @query("sco_08_channel_health", S.with_(("healths",), f"SELECT {S.STEPS}, channel, {S.rs(['health', 'z'])} FROM healths"))
@@ -276,8 +277,8 @@ def window_error(spark: Spark, sf: str) -> DataFrame:
     return shape(V.windows(spark, sf), [*KEY, "error"])
 
 
-def l2_windows(spark: Spark, sf: str) -> DataFrame:
-    return C.smooth_errors(V.windows(spark, sf))
+def l2_windows(spark: Spark, sf: str, g: DataFrame | None = None) -> DataFrame:
+    return C.smooth_errors(materialize(V.windows(spark, sf, g)))
 
 
 @query("sco_12_smoothed_error", S.with_(("l2_soft",), f"SELECT {S.STEPS}, {S.rs(['error', 'smoothed'])} FROM l2_soft"))
@@ -302,9 +303,9 @@ def l2_thresholds(windows: DataFrame) -> DataFrame:
     return K.window_thresholds(windows.where(F.col("label") == "normal"))
 
 
-def l2_steps(spark: Spark, sf: str) -> DataFrame:
+def l2_steps(spark: Spark, sf: str, g: DataFrame | None = None) -> DataFrame:
     """Windows with their threshold block: the pump's own, else the global one."""
-    w = materialize(l2_windows(spark, sf))
+    w = materialize(l2_windows(spark, sf, g))
     th = materialize(l2_thresholds(w))
     cols = ["mean", "warning", "alarm", "window_warning", "window_alarm"]
     own = th.where(F.col("scope_pump") != K.GLOBAL).select(F.col("scope_pump").alias("pump_id"), F.struct(*cols).alias("_o"))
@@ -313,8 +314,8 @@ def l2_steps(spark: Spark, sf: str) -> DataFrame:
     return out.select(*w.columns, "_t.*")
 
 
-def l2_days(spark: Spark, sf: str) -> DataFrame:
-    steps = materialize(l2_steps(spark, sf))
+def l2_days(spark: Spark, sf: str, g: DataFrame | None = None) -> DataFrame:
+    steps = materialize(l2_steps(spark, sf, g))
     extra = steps.groupBy("pump_id", "date").agg(F.avg("smoothed").alias("day_smoothed"), F.max("mean").alias("mean"), F.max("season").alias("season"), F.max("label").alias("label"))
     return C.level2_days(steps).join(extra, ["pump_id", "date"])
 
@@ -360,9 +361,8 @@ def step_table(spark: Spark, sf: str) -> DataFrame:
 
 
 def steps_both(spark: Spark, sf: str) -> DataFrame:
-    l1 = l1_steps(spark, sf)
-    labels = V.days(V.tagged(V.readings(spark, sf)))
-    return C.step_table(l1, l2_windows(spark, sf), labels)
+    g = V.grid(spark, sf)
+    return C.step_table(l1_steps(spark, sf, g), l2_windows(spark, sf, g), V.days(g))
 
 
 # --- fusion and alarms -------------------------------------------------------
@@ -374,7 +374,8 @@ S.cte("fused", ("l1_days", "l2_days"), """SELECT *, CASE WHEN s2 IS NULL THEN s1
 
 def fused(spark: Spark, sf: str) -> DataFrame:
     # Days of level 1 and of level 2 overlap only partly, so both outer sides occur.
-    return U.fuse_days(l1_days(spark, sf), l2_days(spark, sf))
+    g = V.grid(spark, sf)
+    return U.fuse_days(l1_days(spark, sf, g), l2_days(spark, sf, g))
 
 
 @query("joi_03_full_outer_days", S.with_(("fused",), f"SELECT {S.SEGS}, s1 AS status_1, s2 AS status_2, {S.r('v1', 'severity_1')}, {S.r('v2', 'severity_2')} FROM fused"))
@@ -406,10 +407,11 @@ S.cte("day_inputs", ("l1_days", "l2_days"), f"""SELECT a.pump_id, a.date, a.labe
 def day_inputs(spark: Spark, sf: str) -> DataFrame:
     from rotorline.operators.evaluation import day_inputs as build
 
-    s = materialize(l1_steps(spark, sf).select("pump_id", "date", "distance", "status", "warning", "alarm", "mean", "label"))
+    g = V.grid(spark, sf)
+    s = materialize(l1_steps(spark, sf, g).select("pump_id", "date", "distance", "status", "warning", "alarm", "mean", "label"))
     means = s.groupBy("pump_id", "date").agg(F.max("mean").alias("mean"), F.max("label").alias("label"))
     one = C.level1_days(s).join(means, ["pump_id", "date"]).withColumnRenamed("day_mean", "value")
-    two = l2_days(spark, sf).withColumnRenamed("day_error", "value")
+    two = l2_days(spark, sf, g).withColumnRenamed("day_error", "value")
     return build(one, two, means.select("pump_id", "date", "label"))
 
 
@@ -431,8 +433,9 @@ S.cte("aligned", ("l2_steps", "l1_steps"), """SELECT w.pump_id, w.date, w.ts, w.
 
 
 def aligned(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
-    steps = materialize(l1_steps(spark, sf).select("pump_id", "date", "ts", "distance", "status", "warning", "alarm"))
-    w = l2_steps(spark, sf).withColumn(
+    g = V.grid(spark, sf)
+    steps = materialize(l1_steps(spark, sf, g).select("pump_id", "date", "ts", "distance", "status", "warning", "alarm"))
+    w = l2_steps(spark, sf, g).withColumn(
         "window_status", X.status_of(F.col("smoothed"), F.col("window_warning"), F.col("window_alarm"), strict=False))
     w = w.select(*KEY, "smoothed", "window_status", "alarm")
     return U.align_windows(w, steps.where(F.hour("ts") % 2 == 0), 6 * 3600.0), steps
@@ -626,12 +629,12 @@ BLOCK = ["warning", "alarm", "mean", "std"]
 
 @query("cal_05_pump_blocks", S.with_(("blocks1",), f"SELECT {S.i('scope_pump')}, {S.i('n')}, {S.i('fallback')}, {S.rs(BLOCK)} FROM blocks1"))
 def pump_blocks(spark: Spark, sf: str) -> DataFrame:
-    return shape(K.calibrate(_normal(spark, sf), V.OUTPUTS), ["scope_pump", "n", "fallback", *BLOCK])
+    return shape(K.calibrate(_normal(spark, sf), V.OUTPUTS, features=False), ["scope_pump", "n", "fallback", *BLOCK])
 
 
 @query("cal_06_seasonal_blocks", S.with_(("blocks4",), f"SELECT scope_season, {S.i('scope_pump')}, {S.i('n')}, {S.i('fallback')}, {S.rs(BLOCK)} FROM blocks4"))
 def seasonal_blocks(spark: Spark, sf: str) -> DataFrame:
-    return shape(K.calibrate(_normal(spark, sf), V.OUTPUTS, seasonal=True), ["scope_season", "scope_pump", "n", "fallback", *BLOCK])
+    return shape(K.calibrate(_normal(spark, sf), V.OUTPUTS, seasonal=True, features=False), ["scope_season", "scope_pump", "n", "fallback", *BLOCK])
 
 
 WT = ["warning", "alarm", "mean", "std", "window_warning", "window_alarm", "mean_plus_2sigma", "mean_plus_3sigma", "day_warning", "day_alarm"]
@@ -700,7 +703,7 @@ def merge_conformal(spark: Spark, sf: str) -> DataFrame:
 
 @query("cal_14_scale_thresholds", S.with_(("blocks1",), f"SELECT {S.i('scope_pump')}, {S.r('warning * 1.1::DOUBLE', 'warning')}, {S.r('alarm * 0.95::DOUBLE', 'alarm')} FROM blocks1"))
 def scale_thresholds(spark: Spark, sf: str) -> DataFrame:
-    return shape(K.scale_thresholds(K.calibrate(_normal(spark, sf), V.OUTPUTS), 1.1, 0.95), ["scope_pump", "warning", "alarm"])
+    return shape(K.scale_thresholds(K.calibrate(_normal(spark, sf), V.OUTPUTS, features=False), 1.1, 0.95), ["scope_pump", "warning", "alarm"])
 
 
 def _z(c: str) -> str:

@@ -10,6 +10,7 @@ from rotorline.operators import annotation, monitoring, quality
 from rotorline.plans import sql as S
 from rotorline.plans import views as V
 from rotorline.plans.registry import query, shape
+from rotorline.session import materialize
 from rotorline.sources import files, sinks, tables
 
 Spark = SparkSession
@@ -259,10 +260,12 @@ def schema_contract(spark: Spark, sf: str) -> DataFrame:
 @query("snk_04_nested_report", S.with_(("l1_days",), f"SELECT {S.SEGS}, status, {S.i('n_steps')} FROM l1_days"))
 def nested_report(spark: Spark, sf: str) -> DataFrame:
     """Build the JSON report with step detail and read the day fields and the step count back out of it."""
-    from rotorline.plans.catalog_scoring import l1_days, l1_steps
+    from rotorline.operators.scoring import level1_days
+    from rotorline.plans.catalog_scoring import l1_steps
 
-    steps = l1_steps(spark, sf).select("pump_id", "date", "ts", "distance", "status")
-    report = sinks.nested_report(l1_days(spark, sf).select("pump_id", "date", "status", "n_steps"), steps=steps)
+    scored = materialize(l1_steps(spark, sf).select("pump_id", "date", "ts", "distance", "status", "warning", "alarm"))
+    days = level1_days(scored).select("pump_id", "date", "status", "n_steps")
+    report = sinks.nested_report(days, steps=scored.drop("warning", "alarm"))
     body = F.from_json("report", "status string, n_steps long, steps array<struct<status:string>>")
     return shape(report.withColumn("b", body).select("pump_id", "date", "b.status", F.size("b.steps").alias("n_steps")))
 
@@ -281,6 +284,6 @@ def annotations(spark: Spark, sf: str) -> DataFrame:
 def day_log(spark: Spark, sf: str) -> DataFrame:
     from rotorline.plans.catalog_scoring import l1_days, l2_days
 
-    first = l1_days(spark, sf)
-    log = monitoring.day_log(first, l2_days(spark, sf), first)
-    return log
+    g = V.grid(spark, sf)
+    first = materialize(l1_days(spark, sf, g))
+    return monitoring.day_log(first, l2_days(spark, sf, g), first)

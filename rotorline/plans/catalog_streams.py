@@ -68,11 +68,11 @@ def _model(spark: Spark, sf: str) -> tuple[SpeedLine, DataFrame, DataFrame, Step
     """Everything the stream needs, learned in batch: lines, resolved thresholds, scaling."""
     r = V.grid(spark, sf)
     line = SpeedLine("speed", V.OUTPUTS).fit(r)
-    res = V.residual_rows(spark, sf)
+    res = V.residual_rows(spark, sf, r)
     seasons = F.explode(F.array(*[F.lit(s) for s in ("winter", "spring", "summer", "autumn")]))
     keys = r.select("pump_id").distinct().select("pump_id", seasons.alias("season"))
     level1 = K.resolve_blocks(keys, CS.l1_blocks(res, True), ["mean_vec", "cov_inv", "warning", "alarm", "mean"])
-    th = CS.l2_thresholds(materialize(CS.l2_windows(spark, sf)))
+    th = CS.l2_thresholds(materialize(CS.l2_windows(spark, sf, r)))
     # The stream grades the smoothed error, so its thresholds are the window ones.
     named = th.select(
         F.lit(K.ALL_YEAR).alias("scope_season"), "scope_pump", F.lit(False).alias("fallback"),

@@ -136,33 +136,33 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(tagged(readings(spark, sf_dir)))
 
 
-def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = grid(spark, sf_dir)
+def predicted(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
+    r = g if g is not None else grid(spark, sf_dir)
     return SpeedLine("speed", OUTPUTS).fit(r).transform(r)
 
 
-def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def residual_rows(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
     """Complete residual rows; calibration and scoring both read them, so they are written once."""
-    return materialize(residuals(predicted(spark, sf_dir), OUTPUTS))
+    return materialize(residuals(predicted(spark, sf_dir, g), OUTPUTS))
 
 
-def smoothed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def smoothed_rows(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
     """Filled (training mean of normal rows) and smoothed channels of days with at least five rows."""
-    r = grid(spark, sf_dir)
+    r = g if g is not None else grid(spark, sf_dir)
     means = params_struct(norm_params(r.where(F.col("label") == "normal"), FILLED), FILLED).scalar()
     held = r.withColumn("_m", means)
     filled = fill_with_mean(held, FILLED, {c: F.col("_m")[c]["mean"] for c in FILLED}).drop("_m")
     return smooth(filled, FILLED)
 
 
-def scaled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = materialize(smoothed_rows(spark, sf_dir))
+def scaled_rows(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
+    s = materialize(smoothed_rows(spark, sf_dir, g))
     return normalize(s, norm_params(s.where(F.col("label") == "normal"), FILLED), FILLED, "z-score")
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def windows(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
     """Level 2 window errors: mean squared distance from the normal centre over three rows."""
-    z = scaled_rows(spark, sf_dir).withColumns({f"recon_{c}": F.lit(0.0) for c in FILLED})
+    z = scaled_rows(spark, sf_dir, g).withColumns({f"recon_{c}": F.lit(0.0) for c in FILLED})
     return window_error(z, FILLED, HISTORY).select(*SEG, "ts", "label", "season", "error")
 
 
