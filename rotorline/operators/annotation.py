@@ -144,7 +144,7 @@ def error_examples(annotations: DataFrame, per_reason: int = 3) -> DataFrame:
         "date", "pump_id", "period_start", "period_end",
         F.explode(F.array_distinct(base_reasons(F.col("reasons")))).alias("reason"),
     )
-    bad = bad.withColumn("_order", F.datediff("date", F.lit("1970-01-01").cast("date")) * float(2**31) + F.col("pump_id"))
+    bad = materialize(bad).withColumn("_order", F.datediff("date", F.lit("1970-01-01").cast("date")) * float(2**31) + F.col("pump_id"))
     totals = running_totals(bad, ["reason"], "_order", {"c": F.lit(1)})
     offsets = totals.select("reason", "_order", (F.col("cum_c") - F.col("c")).alias("_off"), F.col("all_c").alias("_n"))
     inside = Window.partitionBy("reason", "date", "pump_id").orderBy("period_start")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rotorline.functions.ordered import exact_quantiles, nth_smallest
 from rotorline.operators.scoring import deltas
+from rotorline.session import materialize
 
 # --- Fixed values -----------------------------------------------------------
 RIDGE = 1e-6
@@ -144,10 +145,12 @@ def calibrate(res: DataFrame, channels: Sequence[str], seasonal: bool = False,
     from rotorline.operators.scoring import distance
 
     scoped = with_scopes(res, seasonal)
-    blocks = invert(covariance(scoped, channels), channels)
+    # One row per scope, read by the distances and by the result; one number per sample, read by the moments
+    # and the quantiles: both are written once.
+    blocks = materialize(invert(covariance(scoped, channels), channels))
     joined = scoped.join(blocks.select(*SCOPE, "mean_vec", "cov_inv"), list(SCOPE))
-    scored = joined.withColumn("distance", distance(channels, F.col("mean_vec"), F.col("cov_inv")))
-    th = distance_thresholds(scored.select(*SCOPE, "distance"))
+    scored = joined.select(*SCOPE, distance(channels, F.col("mean_vec"), F.col("cov_inv")).alias("distance"))
+    th = distance_thresholds(materialize(scored))
     full = blocks.select(*SCOPE, "mean_vec", "std_vec", "cov_inv").join(th, list(SCOPE))
     if features:
         stats = feature_statistics(scoped, channels)

@@ -117,7 +117,10 @@ class Detector(StatefulProcessor):
             frame[c] = frame[c].astype("Int64")
         for c in ("alert_fired", "session_flagged", "late"):
             frame[c] = frame[c].astype("boolean")
-        yield frame
+        for c in ("l1_status", "l2_status", "status_raw", "status"):
+            frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+        if len(frame):
+            yield frame
 
     def close(self) -> None:
         pass
