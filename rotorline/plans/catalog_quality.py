@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotorline.operators import annotation, detectors, monitoring, periods, quality
@@ -232,13 +232,14 @@ def steady_means(spark: Spark, sf: str) -> DataFrame:
                  ["pump_id", "date", "period_id", "n_steady", "mean_speed", "mean_motor_current", "mean_outlet_pressure", "mean_ratio", "response"])
 
 
-_KEY = F.when(F.col("name") == "", F.col("kind")).otherwise(F.concat_ws(":", "kind", "name"))
+def _key() -> Column:
+    return F.when(F.col("name") == "", F.col("kind")).otherwise(F.concat_ws(":", "kind", "name"))
 
 
 @query("per_07_channel_baseline", S.with_(("base",), f"SELECT {S.i('pump_id')}, k, {S.rs(['median', 'robust_std', 'q25', 'q95'])}, {S.i('n_obs')} FROM base"))
 def channel_baseline(spark: Spark, sf: str) -> DataFrame:
     b = periods.compute_baseline(V.machine(spark, sf), V.SYSTEM, extra=V.EXTRA)
-    return shape(b.withColumn("k", _KEY), ["pump_id", "k", "median", "robust_std", "q25", "q95", "n_obs"])
+    return shape(b.withColumn("k", _key()), ["pump_id", "k", "median", "robust_std", "q25", "q95", "n_obs"])
 
 
 def _without(block: str) -> str:
@@ -253,7 +254,7 @@ def baseline_without_abnormal(spark: Spark, sf: str) -> DataFrame:
     m = V.machine(spark, sf)
     bad = V.tagged(V.days(m, ())).where(F.col("label") == "abnormal")
     b = periods.refine_baseline(m, V.SYSTEM, bad, min_segments=1)
-    return shape(b.withColumn("k", _KEY), ["pump_id", "k", "median", "robust_std"])
+    return shape(b.withColumn("k", _key()), ["pump_id", "k", "median", "robust_std"])
 
 
 # --- detectors ---------------------------------------------------------------
@@ -349,7 +350,7 @@ def period_class(spark: Spark, sf: str) -> DataFrame:
     return shape(judged, ["pump_id", "date", "period_id", "classification", "reasons"])
 
 
-def _spread_alarm(f: detectors.Features, base: detectors.Baseline, cfg: object) -> object:
+def _spread_alarm(f: detectors.Features, base: detectors.Baseline, cfg: object) -> Column:
     """A plug-in detector: bearing temperature spread above 20."""
     return F.when(f("std_de_bearing_temp") > 20.0, F.lit("bearing_spread"))
 

@@ -70,3 +70,14 @@ def test_registered_queries_have_oracles():
 
     names, oracles = set(queries()), set(oracle_sql())
     assert oracles <= names and len(names) > 150 and len(names - oracles) < 25
+
+
+def test_catalog_imports_without_a_session():
+    """The driver asks for the queries before it starts Spark."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) > 150)"
+    root = __file__.rsplit("/tests/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip().endswith("True"), out.stderr[-500:]
