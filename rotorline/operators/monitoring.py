@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rotorline.config import SEASON_MONTHS
@@ -170,3 +170,15 @@ def day_log(l1_days: DataFrame, l2_days: DataFrame, status: DataFrame) -> DataFr
     two = l2_days.select(*SEG, F.col("day_smoothed").alias("l2_mean"))
     out = one.join(two, list(SEG), "left").join(status.select(*SEG, F.col("status").alias("day_status")), list(SEG))
     return out.withColumn("season", season_of(F.col("date")))
+
+
+def record_recalibration(records: DataFrame, path: str) -> None:
+    """Append recalibrations: (pump_id, date, reason, applied)."""
+    records.select("pump_id", "date", "reason", "applied").write.mode("append").parquet(path)
+
+
+def recalibration_history(spark: SparkSession, path: str) -> DataFrame:
+    """All recorded recalibrations; ``is_last`` marks the newest of each pump."""
+    history = spark.read.parquet(path)
+    last = history.groupBy("pump_id").agg(F.max("date").alias("_last"))
+    return history.join(last, "pump_id").withColumn("is_last", F.col("date") == F.col("_last")).drop("_last")

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Stored intermediate tables go away with the frames that refer to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
