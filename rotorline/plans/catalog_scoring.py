@@ -106,7 +106,23 @@ def full_history(spark: Spark, sf: str) -> DataFrame:
     return shape(out.select(*KEY, F.size("window").alias("size"), total.alias("total"), F.col("window")[0].alias("oldest")))
 
 
-@query("fea_08_split_days")
+def _cut_sql(strata: str, days: str, parts: dict[str, float]) -> str:
+    """Days per part: the k-th of n days (from 0) goes to the first part whose end lies above k/n."""
+    edge, cases = 0.0, []
+    for name, share in list(parts.items())[:-1]:
+        edge += share
+        cases.append(f"WHEN k / n < {edge!r}::DOUBLE - 1e-12 THEN '{name}'")
+    part = f"CASE {' '.join(cases)} ELSE '{list(parts)[-1]}' END"
+    return f"""SELECT {strata}, {part} AS part, count(*) AS n_days FROM (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY pump_id, date) - 1 AS k, count(*) OVER (PARTITION BY {strata}) AS n
+      FROM (SELECT DISTINCT pump_id, date, label FROM {days})) GROUP BY ALL"""
+
+
+S.cte("good_days", ("tagged",), "SELECT * FROM tagged WHERE label = 'normal'")
+S.cte("bad_days", ("tagged",), "SELECT * FROM tagged WHERE label = 'abnormal'")
+
+
+@query("fea_08_split_days", S.with_(("good_days", "bad_days"), f"SELECT label, part, {S.i('n_days')} FROM (" +
+    _cut_sql("label", "good_days", {"train": 0.8, "validation": 0.1, "test": 0.1}) + " UNION ALL " + _cut_sql("label", "bad_days", {"validation": 0.5, "test": 0.5}) + ")"))
 def split_days(spark: Spark, sf: str) -> DataFrame:
     days = V.days(V.tagged(V.readings(spark, sf)))
     normal = FE.split_days(days.where(F.col("label") == "normal"), {"train": 0.8, "validation": 0.1, "test": 0.1}, ["label"])
@@ -114,7 +130,7 @@ def split_days(spark: Spark, sf: str) -> DataFrame:
     return shape(normal.unionByName(abnormal).groupBy("label", "part").agg(F.count(F.lit(1)).alias("n_days")))
 
 
-@query("fea_09_stratified_split")
+@query("fea_09_stratified_split", S.with_(("tagged",), f"SELECT {S.i('pump_id')}, label, part, {S.i('n_days')} FROM (" + _cut_sql("pump_id, label", "tagged", {"optimise": 0.7, "holdout": 0.3}) + ")"))
 def stratified_split(spark: Spark, sf: str) -> DataFrame:
     days = V.days(V.tagged(V.readings(spark, sf)))
     out = FE.split_days(days, {"optimise": 0.7, "holdout": 0.3}, ["pump_id", "label"])
@@ -736,3 +752,18 @@ def refit(spark: Spark, sf: str) -> DataFrame:
     out = blocks.join(fitted.select("scope_pump", "condition_number"), "scope_pump", "left")
     flat = {f"inv_{c}": F.col(f"cov_inv.{c}.{c}") for c in V.OUTPUTS}
     return shape(out.withColumns(flat), ["scope_pump", "warning", "alarm", "condition_number", *flat])
+
+
+S.cte("refit_inv", ("cov",), S.inverse_sql("cov", "1e-3"))
+
+
+@query("cal_16_refit_matrix", S.with_(("refit_inv", "blocks1"), f"SELECT {S.i('b.scope_pump', 'scope_pump')}, {S.r('b.warning', 'warning')}, " + ", ".join(
+    S.r(f"CASE WHEN b.scope_pump = -1 THEN f.i_{c}__{c} ELSE 1.0::DOUBLE / greatest(b.s_{c} * b.s_{c}, 1e-12) END", f"inv_{c}") for c in S.OUT) +
+    " FROM blocks1 b, (SELECT * FROM refit_inv WHERE scope_pump = -1) f WHERE NOT b.fallback"))
+def refit_matrix(spark: Spark, sf: str) -> DataFrame:
+    """The replaced global matrix; pump blocks keep theirs."""
+    res = V.residual_rows(spark, sf)
+    fitted = K.refit(res.where(F.col("label") == "normal"), V.OUTPUTS, 1e-3)
+    blocks = K.replace_global(l1_blocks(res), fitted).where(~F.col("fallback"))
+    flat = {f"inv_{c}": F.col(f"cov_inv.{c}.{c}") for c in V.OUTPUTS}
+    return shape(blocks.withColumns(flat), ["scope_pump", "warning", *flat])

@@ -25,7 +25,7 @@ Spark = SparkSession
 def event_stream(spark: Spark, sf: str) -> DataFrame:
     e = jobs.read_table_stream(spark, sf, "events.parquet")
     return e.select(
-        (F.floor(F.col("user_id") / V.USERS_PER_PUMP) + 1).cast("int").alias("pump_id"), "event_id",
+        (F.expr(f"user_id div {V.USERS_PER_PUMP}") + 1).cast("int").alias("pump_id"), "event_id",
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sensor"), "value",
     )
 

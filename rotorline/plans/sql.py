@@ -245,13 +245,13 @@ cte("cov", ("scoped",), cov_sql("scoped"))
 cte("cov4", ("scoped4",), cov_sql("scoped4"))
 
 
-def inverse_sql(source: str) -> str:
+def inverse_sql(source: str, ridge: str = "1e-6") -> str:
     """Closed-form inverse of the ridge-regularised 3x3 matrix."""
     x, y, z = OUT
     g = {}
     for n, p in enumerate(OUT):
         for q in OUT[n:]:
-            g[p, q] = g[q, p] = f"({'cov_' + p + '__' + q}{' + 1e-6' if p == q else ''})"
+            g[p, q] = g[q, p] = f"(cov_{p}__{q}{' + ' + ridge if p == q else ''})"
     a, b, c, dd, e, f = g[x, x], g[x, y], g[x, z], g[y, y], g[y, z], g[z, z]
     det = f"({a}*({dd}*{f}-{e}*{e}) - {b}*({b}*{f}-{c}*{e}) + {c}*({b}*{e}-{c}*{dd}))"
     cells = {

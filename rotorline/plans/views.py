@@ -81,7 +81,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     ts = F.col("ts").cast("timestamp")
     return e.select(
-        "event_id", (F.floor(F.col("user_id") / USERS_PER_PUMP) + 1).cast("int").alias("pump_id"), "user_id",
+        "event_id", (F.expr(f"user_id div {USERS_PER_PUMP}") + 1).cast("int").alias("pump_id"), "user_id",
         ts.cast("date").alias("date"), ts.alias("ts"), F.col("event_type").alias("sensor"), "value",
     )
 
