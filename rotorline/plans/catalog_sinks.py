@@ -27,7 +27,7 @@ Spark = SparkSession
 
 @query("src_13_split_days", S.with_(("readings",), f"SELECT {S.SEGS}, {S.i('n')}, {S.r('flow')} FROM (SELECT pump_id, date, count(*) AS n, sum(flow) AS flow FROM readings GROUP BY 1, 2)"))
 def split_days(spark: Spark, sf: str) -> DataFrame:
-    """Readings written as one directory per machine-day and read back."""
+    """Readings written by day, ordered by machine and time, and read back."""
     folder = f"{scratch(spark)}/days"
     r = V.readings(spark, sf)
     sinks.write_days(r, folder)

@@ -12,6 +12,8 @@ from rotorline.operators.quality import bucket_start
 # --- Fixed values -----------------------------------------------------------
 BUCKET_SECONDS = 300
 DEFAULT_TIMESTEP = 60
+# Sensor names start with this and the machine number.
+SENSOR_PREFIX = "Main HTF Pump"
 # ---------------------------------------------------------------------------
 
 
@@ -64,10 +66,10 @@ def unpack_days(packed: DataFrame, keys: Sequence[str] = ("pump_id",), start: Co
     )
 
 
-def generic_name(name: Column, number: Column | str) -> Column:
+def generic_name(name: Column, number: Column | str, prefix: str = SENSOR_PREFIX) -> Column:
     """Pump-specific sensor name to the generic one: the pump number inside it is dropped; others pass through."""
     number = F.lit(number) if isinstance(number, str) else number
-    return F.regexp_replace(name, F.concat(F.lit(r"^(Main HTF Pump) "), number, F.lit(r" ")), F.lit("$1 "))
+    return F.regexp_replace(name, F.concat(F.lit(f"^({prefix}) "), number, F.lit(" ")), F.lit("$1 "))
 
 
 def map_names(df: DataFrame, mapping: DataFrame, name: str = "sensor") -> DataFrame:

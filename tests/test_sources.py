@@ -94,9 +94,11 @@ def test_strict_and_contract(spark):
 
 def test_day_sink_and_cache(spark, tmp_path):
     df = segment(spark, [1.0, 2.0]).unionByName(segment(spark, [3.0], pump=2))
-    sinks.write_days(df, str(tmp_path / "days"))
+    sinks.write_days(df, str(tmp_path / "days"), by=("pump_id", "date"))
     assert (tmp_path / "days" / "pump_id=1" / "date=2024-01-02").exists()
     assert spark.read.parquet(str(tmp_path / "days")).count() == 3
+    sinks.write_days(df, str(tmp_path / "by_date"))
+    assert (tmp_path / "by_date" / "date=2024-01-02").exists() and spark.read.parquet(str(tmp_path / "by_date")).count() == 3
     calls = []
     build = lambda: calls.append(1) or df
     first = sinks.cached(spark, str(tmp_path / "c"), "r1", build).count()
