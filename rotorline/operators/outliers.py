@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rotorline.config import SystemConfig
 from rotorline.operators.features import sample_rows
 
 # --- Fixed values -----------------------------------------------------------
@@ -194,6 +195,17 @@ def distance_flag(squared: Column, threshold: float) -> Column:
     return (squared > threshold).cast("int")
 
 
+def vote_columns(cfg: SystemConfig) -> list[str]:
+    """The steady-state vector of a period: speed, current, their ratio, pressure, up to five temperatures and
+    mean and maximum of up to two vibrations (thirteen values on a fully equipped machine)."""
+    c = cfg.columns
+    names = [f"mean_{c.speed}", f"mean_{c.current}", "mean_ratio"]
+    names += [f"mean_{c.pressure}"] if c.pressure else []
+    names += [f"mean_{t}" for t in c.temps[:5]]
+    names += [f"{part}_{v}" for v in c.vibrations[:2] for part in ("mean", "max")]
+    return list(dict.fromkeys(names))
+
+
 def period_votes(features: DataFrame, columns: Sequence[str], key: Sequence[str], normal: Column,
                  distance_limit: float, forest_limit: float = 0.5) -> DataFrame:
     """Three model votes per period (``vote_lof``, ``vote_forest``, ``vote_mahalanobis``).

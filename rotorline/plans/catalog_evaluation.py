@@ -563,10 +563,10 @@ def outlier_vote(spark: Spark, sf: str) -> DataFrame:
     from rotorline.plans.catalog_quality import features
 
     f = materialize(features(spark, sf))
-    columns = ["mean_speed", "mean_motor_current", "mean_ratio", "mean_outlet_pressure", "mean_de_bearing_temp", "mean_flow"]
+    columns = O.vote_columns(V.SYSTEM)
     key = ["pump_id", "date", "period_id"]
     normal = V.label_of(F.col("date"), F.col("pump_id")) == "normal"
-    votes = O.period_votes(f, columns, key, normal, 6.0, 0.5)
+    votes = O.period_votes(f, columns, key, normal, 20.0, 0.5)
     base = periods.baseline_wide(periods.baseline_long(f, V.SYSTEM))
     joined = detectors.with_baseline(f.join(votes, key, "left"), base)
     return shape(detectors.detect(joined, V.SYSTEM, "ml_ensemble"))

@@ -220,3 +220,18 @@ def test_pca_reconstruction(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>")
     out = O.pca_reconstruction(df.where("id < 200"), df, "v").orderBy(F.desc("pca_error")).first()
     assert out["id"] == 200
+
+
+def test_outlier_vote_is_unanimous(spark):
+    """A far period collects three votes, the crowd does not."""
+    from rotorline.config import Columns, SystemConfig
+
+    cfg = SystemConfig(columns=Columns(speed="s", current="c", pressure="p", temps=("t1", "t2"), vibrations=("v",)))
+    names = O.vote_columns(cfg)
+    assert names == ["mean_s", "mean_c", "mean_ratio", "mean_p", "mean_t1", "mean_t2", "mean_v", "max_v"]
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(size=(200, 8)), np.full((1, 8), 9.0)])
+    rows = [(i, *[float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names))
+    votes = {r["id"]: r["vote_lof"] + r["vote_forest"] + r["vote_mahalanobis"] for r in O.period_votes(df, names, ["id"], F.col("id") < 200, 30.0, 0.6).collect()}
+    assert votes[200] == 3 and sum(v == 3 for v in votes.values()) <= 3
