@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from rotorline.llm import mixing, sharding, urlfilter
+from rotorline.llm import decontaminate, mixing, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
