@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rotorline.llm import decontaminate, mixing, quality, sharding, simhash, toxicity, urlfilter
+from rotorline.llm import ctw, decontaminate, mixing, quality, sharding, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_lm_scoring": ctw.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": urlfilter.op8_url_filter,
