@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rotorline.llm import ctw, decontaminate, mixing, quality, sharding, simhash, toxicity, urlfilter
+from rotorline.llm import ctw, decontaminate, htmltext, mixing, quality, sharding, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_html_text": htmltext.op2_html_text,
     "op3_quality": quality.op3_quality,
     "op4_lm_scoring": ctw.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
