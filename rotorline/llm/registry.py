@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rotorline.llm import ctw, decontaminate, htmltext, mixing, quality, sharding, simhash, toxicity, urlfilter
+from rotorline.llm import ctw, decontaminate, embeddup, htmltext, mixing, quality, sharding, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_lm_scoring": ctw.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_embedding_dedup": embeddup.op6_embedding_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op6_embedding_dedup": embeddup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
     "op9_sharding": sharding.ORACLE,
