@@ -32,7 +32,7 @@ import math
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 from rotorline.llm.base import cut, fold, table
 
 FOLDS, HELD = 7, 2
-DEPTH = 6
-BLOCK, WIDTH = 8_000_000, 16
+DEPTH = 5
+BLOCK, WIDTH = 2_000_000, 16
 HEAD = 400_000
 FLUSH = 300_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 END = b"\n"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LOG2 = math.log(2)
@@ -99,20 +99,23 @@ def stream_of(tokens: list[bytes]) -> bytes:
     return b" ".join(tokens)
 
 
-def windows(streams: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For every byte its context and itself as one number, and which stream it is of; in slices of bounded size."""
+def windows(streams: Iterable[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every byte its context and itself as one number, in slices of bounded size; which streams the numbers of a
+    slice are of, and how many each has."""
     pad, pending, size = b" " * depth, [], 0
 
     def out():
         sizes = np.array([len(x) - depth for _, x in pending], np.int64)
-        data = np.frombuffer(b"".join(x for _, x in pending), np.uint8).astype(np.int64)
-        key = np.zeros(len(data) - depth, np.int64)
-        for j in range(depth + 1):
-            key = (key << 8) | data[j:len(data) - depth + j]
-        owner = np.repeat(np.array([i for i, _ in pending], np.int64), sizes)
+        data = np.frombuffer(b"".join(x for _, x in pending), np.uint8)
+        key = data[:len(data) - depth].astype(np.int64)
+        for j in range(1, depth + 1):
+            key <<= 8
+            key |= data[j:len(data) - depth + j]
         # The padding between streams is no byte to predict.
-        first = np.cumsum(sizes + depth) - sizes - depth
-        return key[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)], owner
+        real = np.ones(len(key), bool)
+        gaps = (np.cumsum(sizes + depth)[:-1] - depth)[:, None] + np.arange(depth)
+        real[gaps] = False
+        return key[real], np.array([i for i, _ in pending], np.int64), sizes
 
     for i, stream in enumerate(streams):
         for at in range(0, len(stream), SLICE):
@@ -126,6 +129,13 @@ def windows(streams: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
         yield out()
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often they occur."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _paired(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -138,14 +148,16 @@ def _paired(depth: int):
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
         for batch in batches:
-            trained = (~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64)
-            for key, owner in windows([stream_of(words_of(t.as_py())) for t in batch.column("text")], depth):
-                keys, at = np.unique(key, return_inverse=True)
-                parts.append((keys, np.bincount(at, trained[owner], len(keys)).astype(np.int64)))
-                if sum(len(k) for k, _ in parts) > 10 * FLUSH:
-                    parts[:] = [gathered()]
-                    if len(parts[0][0]) > 5 * FLUSH:
-                        yield batch_of(*parts.pop())
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for rows, counts in ((np.flatnonzero(~held), True), (np.flatnonzero(held), False)):
+                texts_in = batch.column("text").take(pa.array(rows))
+                for key, _, _ in windows((stream_of(words_of(t.as_py())) for t in texts_in), depth):
+                    keys, n = runs(key)
+                    parts.append((keys, n if counts else np.zeros_like(n)))
+                    if sum(len(k) for k, _ in parts) > 5 * FLUSH:
+                        parts[:] = [gathered()]
+                        if len(parts[0][0]) > 3 * FLUSH:
+                            yield batch_of(*parts.pop())
         if parts:
             yield batch_of(*gathered())
 
@@ -290,17 +302,19 @@ class Lookup:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values; 0 where there is no such key."""
-        out = np.zeros(len(keys), np.float64)
         if not len(self.keys):
-            return out
-        left, slot = np.arange(len(keys)), self.slots(keys)
+            return np.zeros(len(keys))
+        slot = self.slots(keys)
+        at = self.table[slot]
+        hit = (self.keys[at] == keys) & (at >= 0)
+        out = np.where(hit, self.values[at], 0.0)
+        left = np.flatnonzero(~hit & (at >= 0))
         while len(left):
-            at = self.table[slot]
-            hit = self.keys[at] == keys[left]
-            hit &= at >= 0
+            slot[left] = (slot[left] + 1) & (len(self.table) - 1)
+            at = self.table[slot[left]]
+            hit = (self.keys[at] == keys[left]) & (at >= 0)
             out[left[hit]] = self.values[at[hit]]
-            on = ~hit & (at >= 0)
-            left, slot = left[on], (slot[on] + 1) & (len(self.table) - 1)
+            left = left[~hit & (at >= 0)]
         return out
 
 
@@ -354,8 +368,8 @@ def _added(name: str, block, head, denominator: float, depth: int):
                 sums.append((len(sums) and sums[-1][0] + sums[-1][1], len(others), len(tokens) if head else 0, known, base_sum))
             rows = len(owner)
             total = np.zeros(batch.num_rows)
-            for key, at in windows(streams, depth):
-                total += np.bincount(at, model.get(key), batch.num_rows)
+            for key, at, sizes in windows(streams, depth):
+                np.add.at(total, at, np.add.reduceat(model.get(key), np.cumsum(sizes) - sizes))
             first = np.array([x[0] for x in sums], np.int64)
 
             def on_first(values, kind, rows=rows, first=first):

@@ -104,9 +104,9 @@ def with_back_links(x: np.ndarray, graph: np.ndarray, alpha: float) -> np.ndarra
 
 
 def in_range(x: np.ndarray, graph: np.ndarray, medoid: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b), a < b, within squared distance ``reach``: greedy search from the medoid, then out from every find
-    to its neighbours until none in range is left that has not been followed."""
-    left, right = [], []
+    """Pairs (a, b), a < b, within squared distance ``reach`` that either search finds: greedily from the medoid, then
+    out from every find to its neighbours until none in range is left that has not been followed."""
+    found = []
     for a in range(0, len(x), SLICE):
         own = np.arange(a, min(a + SLICE, len(x)))
         ids, far = greedy(x, graph, x[own], medoid)
@@ -129,7 +129,7 @@ def in_range(x: np.ndarray, graph: np.ndarray, medoid: int, reach: float) -> tup
             q, node = q[inside], node[inside]
             hit[q, node] = True
         q, node = np.nonzero(hit)
-        later = own[q] < node
-        left.append(own[q][later])
-        right.append(node[later])
-    return np.concatenate(left), np.concatenate(right)
+        other = own[q] != node
+        found.append((np.minimum(own[q], node) * len(x) + np.maximum(own[q], node))[other])
+    pairs = np.unique(np.concatenate(found))
+    return pairs // len(x), pairs % len(x)
