@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +54,12 @@ def id_text(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key() -> Column:
+    """One number for a document's id, text and source; rows alike in all three are the same document."""
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "text", "source")]
+    return F.xxhash64(*parts)
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(id_text(column).cast("binary")) % parts
@@ -62,7 +67,3 @@ def fold(column: str, parts: int) -> Column:
 
 def duck_md5_number(expr: str) -> str:
     return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
-
-
-def per_batch(df: DataFrame, work: Callable[[Iterable], Iterable], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)

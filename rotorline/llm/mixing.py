@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rotorline.llm.base import WORD, cut, duck_md5_number, id_text, md5_number, table
+from rotorline.llm.base import WORD, cut, duck_md5_number, id_text, md5_number, row_key, table
 
 WEIGHTS = (5, 2, 1)
 TOTAL, MOST = 1.5, 2.0
@@ -57,14 +57,14 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def plan(docs: DataFrame, total: float = TOTAL, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash, size, source_size, target, taken, copies: how often each document enters the mix."""
+    """doc_id, row_key, size, source_size, target, taken, copies: how often each document enters the mix."""
     order = md5_number(F.concat_ws("|", F.lit(str(seed)), id_text()))
-    light = cut(docs.select("doc_id", text_hash().alias("text_hash"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order.alias("hash"))
+    light = cut(docs.select("doc_id", row_key().alias("row_key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order.alias("hash"))
                 .withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")))
     buckets = light.agg(F.ceil(F.count("*") / BUCKET)).scalar()
     light = light.withColumn("bucket", F.floor(F.col("hash") * buckets / F.lit(2.0**32)))
     slot = ["class", "bucket"]
-    row = Window.partitionBy("source", *slot).orderBy("hash", "doc_id", "size", "text_hash")
+    row = Window.partitionBy("source", *slot).orderBy("hash", "doc_id", "size", "row_key")
     counts = light.groupBy("source", *slot).agg(F.count("*").alias("n"))
     in_class = counts.withColumn("bucket_start", F.coalesce(F.sum("n").over(Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n"))
@@ -78,16 +78,12 @@ def plan(docs: DataFrame, total: float = TOTAL, most: float = MOST, seed: int =
     placed = light.withColumn("place", F.row_number().over(row))
     laid = placed.alias("p").join(
         starts.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.class") == F.col("s.class")) & (F.col("p.bucket") == F.col("s.bucket")),
-    ).select("p.doc_id", "p.text_hash", "p.source", "p.size", "source_size", "target", (F.col("start") + F.col("place")).cast("double").alias("rank"))
+    ).select("p.doc_id", "p.row_key", "p.source", "p.size", "source_size", "target", (F.col("start") + F.col("place")).cast("double").alias("rank"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
     copies = (F.floor(rate * F.col("rank") + u) - F.floor(rate * (F.col("rank") - 1) + u)).cast("long")
     return laid.withColumn("copies", copies).select(
-        "doc_id", "text_hash", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
-
-
-def text_hash() -> Column:
-    return F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))
+        "doc_id", "row_key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def emit(docs: DataFrame, mix: DataFrame) -> DataFrame:
@@ -95,15 +91,14 @@ def emit(docs: DataFrame, mix: DataFrame) -> DataFrame:
 
     Rows meet their plan by id, text and source. Rows alike in all three are one document whose copies add up.
     """
-    chosen = mix.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_hash", text_hash())
-    met = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_hash") == F.col("_mix_hash")))
-    one = met.dropDuplicates(["_mix_id", "_mix_hash"])
+    chosen = mix.groupBy(F.col("row_key").alias("_planned")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    keyed = docs.withColumn("_row_key", row_key())
+    one = keyed.join(chosen, F.col("_row_key") == F.col("_planned")).dropDuplicates(["_row_key"])
     return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(table(spark, sf_dir, "documents")).drop("text_hash")
+    return plan(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 _SEEDED = duck_md5_number(f"'{SEED}|' || coalesce(doc_id::VARCHAR, '')")

@@ -99,6 +99,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFra
              "grown_shard", F.col("vslot").alias("virtual_slot"))
 
 
+def placed(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """The documents with all their columns, and virtual_slot and shard (which replace columns of these names)."""
+    slot = md5_number(id_text()) % slots
+    held = slot_map(docs.sparkSession, shards, slots).select(F.col("vslot").alias("_slot"), F.col("shard").alias("_shard"))
+    found = docs.withColumn("_vslot", slot).join(F.broadcast(held), F.col("_vslot") == F.col("_slot"))
+    kept = [f"`{c}`" for c in docs.columns if c not in ("virtual_slot", "shard")]
+    return found.select(*kept, F.col("_vslot").alias("virtual_slot"), F.col("_shard").alias("shard"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rotorline.llm.base import cut, table
+from rotorline.llm.base import cut, row_key, table
 from rotorline.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -132,17 +132,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id; columns as they were.
+    """One document of each component, that with the smallest id (a null id comes last); columns as they were.
 
-    Rows that share an id are one document, of which one row stays; rows without an id are not compared and stay.
+    Documents of one id but other text or source are told apart by their key; rows alike in all three leave one row.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"))
-    once = left.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti")
-    twice = left.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi")
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    keyed = docs.withColumn("_row_key", row_key())
+    prints = cut(fingerprints(keyed, ["doc_id", "_row_key"]).select("sh_doc.doc_id", "sh_doc._row_key", "fp"))
+    points = prints.join(roots(prints), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("_row_key").alias("key"))
+    kept = points.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp")).alias("component")).agg(F.min(order)["key"].alias("_kept"))
+    left = keyed.join(kept.select("_kept"), F.col("_row_key") == F.col("_kept")).dropDuplicates(["_row_key"])
+    return left.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
