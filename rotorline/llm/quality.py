@@ -88,8 +88,12 @@ def matrix(docs: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, SIZE)
 
 
-def with_one(x: np.ndarray) -> np.ndarray:
-    return np.hstack([x, np.ones((len(x), 1), x.dtype)])
+def scaled(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Standardised, with a last column of ones, in single precision."""
+    out = np.ones((len(x), SIZE + 1), np.float32)
+    np.subtract(x, centre, out=out[:, :-1])
+    out[:, :-1] /= spread
+    return out
 
 
 def class_prior(p: np.ndarray, u: np.ndarray) -> float:
@@ -104,18 +108,19 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
 def fit(p: np.ndarray, u: np.ndarray, steps: int = STEPS) -> Model:
     if not len(p) or not len(u):
         return Model(np.zeros(SIZE + 1), np.zeros(SIZE), np.ones(SIZE), 0.5)
-    both = np.vstack([p, u])
-    centre, spread = both.mean(0), both.std(0) + 0.02
-    p, u = with_one((p - centre) / spread), with_one((u - centre) / spread)
+    centre, spread = u.mean(0), u.std(0) + 0.02
+    p, u = scaled(p, centre, spread), scaled(u, centre, spread)
     shrink = np.append(np.full(SIZE, RIDGE), 0)
 
     def plain(w):
+        w = w.astype(np.float32)
         return -((1 - sigmoid(p @ w)) @ p) / len(p) + (sigmoid(u @ w) @ u) / len(u) + shrink * w
 
     ranked = adam(plain, SIZE + 1, steps // 3, RATE)
-    prior = class_prior(p @ ranked, u @ ranked)
+    prior = class_prior(p @ ranked.astype(np.float32), u @ ranked.astype(np.float32))
 
     def risk(w):
+        w = w.astype(np.float32)
         zp, zu = p @ w, u @ w
         sp, su = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
