@@ -10,8 +10,8 @@ Vectors of one label are compared by cosine. Equal vectors are one node with a c
    it for every node from the medoid, expanding through everything in range. It gives the links, verified in double
    precision, and its near neighbour lists.
 3. ``linked``: lists and links of all shards are united. Nodes that share no shard but are both near a third are met by
-   expanding over the united lists: of two nodes linked through a third, the list entry is within twice the range, so
-   only such entries are kept. Candidates are verified, until a round finds nothing.
+   expanding over the united lists, which are short: of two nodes linked through a third, the list entry is within
+   twice the range, so only such entries are kept. Candidates are verified, until a round finds nothing.
 4. ``audited``: about ``AUDIT`` nodes, chosen by hash, are compared with all nodes of their label; if fewer than
    ``RECALL`` of their true links were found, everything is done again with one more copy per node.
 
@@ -124,7 +124,7 @@ def _search(cosine: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, exact = rows["node"].to_numpy(), unit(rows["embedding"])
         if len(ids) < 2:
-            return pd.DataFrame({"a": [], "b": [], "linked": []})
+            return pd.DataFrame({"a": [], "b": [], "linked": [], "listed": []})
         x = exact.astype(np.float32)
         graph, medoid = vectorgraph.build(x)
         left, right = vectorgraph.in_range(x, graph, medoid, reach + 1e-5)
@@ -134,15 +134,16 @@ def _search(cosine: float):
         cos = np.concatenate([np.einsum("nd,nd->n", exact[left[i:i + 65536]], exact[right[i:i + 65536]]) for i in range(0, max(len(left), 1), 65536)])
         left, right = left[cos >= cosine], right[cos >= cosine]
         return pd.DataFrame({"a": np.concatenate([ids[left], ids[source[near]]]), "b": np.concatenate([ids[right], ids[target[near]]]),
-                             "linked": np.repeat([True, False], [len(left), near.sum()])})
+                             "linked": np.repeat([True, False], [len(left), near.sum()]), "listed": np.repeat([False, True], [len(left), near.sum()])})
 
     return run
 
 
 def searched(shards: DataFrame, cosine: float) -> DataFrame:
-    """a, b, linked: links that a shard's search found, and near entries of its neighbour lists; a < b, united."""
-    found = shards.groupBy("shard").applyInPandas(_search(cosine), "a long, b long, linked boolean")
-    return found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("linked").alias("linked"))
+    """a, b, linked, listed: links that a shard's search found, and near entries of its neighbour lists; a < b, united."""
+    found = shards.groupBy("shard").applyInPandas(_search(cosine), "a long, b long, linked boolean, listed boolean")
+    return found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.max("linked").alias("linked"), F.max("listed").alias("listed"))
 
 
 def cosine_of(a: Column, b: Column) -> Column:
@@ -158,9 +159,10 @@ def linked(shards: DataFrame, cosine: float = COSINE) -> DataFrame:
     # Only nodes at the seams can have missed each other: both ends of a pair without a common shard.
     both = lambda pairs: pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     at = lambda name: homes.select(F.col("node").alias(name), F.col("homes").alias(f"{name}_homes"))
-    entries = both(united).join(at("a"), "a").join(at("b"), "b")
+    entries = both(united.where("listed")).join(at("a"), "a").join(at("b"), "b")
     seam = cut(entries.where(F.size(F.array_except("b_homes", "a_homes")) > 0).select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("b_homes").alias("z_homes")))
-    fresh = links
+    # A node goes out over its own list first, then over the lists of what it has found beyond the seam.
+    fresh = united.where("linked and listed").select("a", "b")
     while True:
         steps = both(fresh).select(F.col("a").alias("x"), F.col("b").alias("y")).join(at("x"), "x")
         met = steps.join(seam, "y").where((F.col("x") < F.col("z")) & ~F.arrays_overlap("x_homes", "z_homes")).select(F.col("x").alias("a"), F.col("z").alias("b")).distinct()
