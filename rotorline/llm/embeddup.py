@@ -4,8 +4,9 @@ Vectors of one label are compared by cosine. Equal vectors are one node with a c
 
 1. ``sharded``: nodes of a label (and length) are dealt into overlapping shards. A shard of over ``LIMIT`` nodes takes
    pivots from a sample of about ``SAMPLE`` of its nodes, chosen by hash, far from each other; each node goes on to its
-   ``COPIES`` nearest pivots. This repeats until all shards fit. A shard without distinct pivots is one tight bunch: it
-   is cut into parts by hash, and every two parts make a shard, which loses no pair.
+   ``COPIES`` nearest pivots. This repeats until all shards fit, ``SPLITS`` times at most. A shard that is still too
+   large or has no distinct pivots is one tight bunch: it is cut into parts by hash, and every two parts make a shard,
+   which loses no pair.
 2. ``searched``: each shard builds a graph in its task (neighbour lists by robust pruning, links both ways) and searches
    it for every node from the medoid, expanding through everything in range. It gives the links, verified in double
    precision, and its near neighbour lists.
@@ -39,7 +40,7 @@ from rotorline.llm.components import components
 
 COSINE = 0.98
 LIMIT, TARGET, SAMPLE, COPIES = 4096, 1500, 128, 2
-APART = 0.9  # pivots have a lower cosine than this
+APART, SPLITS = 0.9, 3  # pivots have a lower cosine than this
 AUDIT, RECALL = 200, 0.97
 
 
@@ -65,16 +66,22 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return named.groupBy("node").agg(F.first(shard).alias("shard"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("rows"))
 
 
-def _pivots(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a sampled shard: as many vectors as it needs parts, each the farthest from those before."""
-    x = unit(rows["embedding"])
-    wanted = int(np.clip(np.ceil(rows["size"].iloc[0] / TARGET), 2, 32))
-    chosen = [int(np.argmax(x @ x.mean(0)))]
-    near = x @ x[chosen[0]]
-    while len(chosen) < wanted and near.min() < APART:
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "size": [rows["size"].iloc[0]], "pivots": [[x[i].tolist() for i in chosen]]})
+def _pivots(copies: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of a sampled shard: as many vectors as it needs parts, each the farthest from those before; none if the
+        shard is a tight bunch, for which too few are apart, or has been split ``SPLITS`` times in vain."""
+        x, shard, size = unit(rows["embedding"]), rows["shard"].iloc[0], rows["size"].iloc[0]
+        wanted = int(np.clip(np.ceil(copies * size / TARGET), 2 * copies, 64))
+        chosen = [int(np.argmax(x @ x.mean(0)))]
+        near = x @ x[chosen[0]]
+        while len(chosen) < wanted and near.min() < APART:
+            chosen.append(int(np.argmin(near)))
+            near = np.maximum(near, x @ x[chosen[-1]])
+        if len(chosen) < 2 * copies or shard.count("/") > SPLITS:
+            chosen = []
+        return pd.DataFrame({"shard": [shard], "size": [size], "pivots": [[x[i].tolist() for i in chosen]]})
+
+    return run
 
 
 def _dealt(copies: int):
@@ -83,13 +90,13 @@ def _dealt(copies: int):
             out = []
             for shard, rows in batch.groupby("shard"):
                 pivots = rows["pivots"].iloc[0]
-                if len(pivots) < 2:
+                if not len(pivots):
                     # A tight bunch: parts by hash, and a shard for every two parts.
                     parts = max(2, int(np.ceil(2 * rows["size"].iloc[0] / LIMIT)))
                     part = rows["node"].to_numpy() % parts
                     for other in range(parts):
                         low, high = np.minimum(part, other), np.maximum(part, other)
-                        keep = (part != other) if parts > 1 else np.ones(len(part), bool)
+                        keep = part != other
                         out.append(pd.DataFrame({"node": rows["node"].to_numpy()[keep], "shard": [f"{shard}/={a}:{b}" for a, b in zip(low[keep], high[keep], strict=True)], "embedding": rows["embedding"].to_numpy()[keep]}))
                     continue
                 near = np.argsort(-(unit(rows["embedding"]) @ np.array([list(p) for p in pivots]).T), axis=1)[:, :copies]
@@ -113,7 +120,7 @@ def sharded(nodes: DataFrame, copies: int = COPIES, limit: int = LIMIT) -> DataF
         done = fits if done is None else done.unionByName(fits)
         marked = going.join(large, "shard")
         sample = marked.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("size")) < SAMPLE)
-        pivots = cut(sample.groupBy("shard").applyInPandas(_pivots, "shard string, size long, pivots array<array<double>>"))
+        pivots = cut(sample.groupBy("shard").applyInPandas(_pivots(copies), "shard string, size long, pivots array<array<double>>"))
         going = cut(going.join(pivots, "shard").select("node", "shard", "embedding", "size", "pivots").mapInPandas(_dealt(copies), shape).dropDuplicates(["node", "shard"]))
 
 
