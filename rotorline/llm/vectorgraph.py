@@ -105,8 +105,13 @@ def with_back_links(x: np.ndarray, graph: np.ndarray, alpha: float) -> np.ndarra
 
 def in_range(x: np.ndarray, graph: np.ndarray, medoid: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b), a < b, within squared distance ``reach`` that either search finds: greedily from the medoid, then
-    out from every find to its neighbours until none in range is left that has not been followed."""
+    out from every find to its neighbours until none in range is left that has not been followed. On the way out links
+    count in both directions: in a tight bunch most lists name the few vectors in the middle, whose own lists are short."""
     found = []
+    source, slot = np.nonzero(graph >= 0)
+    ends = np.concatenate([source, graph[source, slot]]), np.concatenate([graph[source, slot], source])
+    order = np.argsort(ends[0], kind="stable")
+    near, start = ends[1][order], np.searchsorted(ends[0][order], np.arange(len(x) + 1))
     for a in range(0, len(x), SLICE):
         own = np.arange(a, min(a + SLICE, len(x)))
         ids, far = greedy(x, graph, x[own], medoid)
@@ -117,7 +122,9 @@ def in_range(x: np.ndarray, graph: np.ndarray, medoid: int, reach: float) -> tup
         hit[row, ids[row, slot]] = True
         q, node = np.nonzero(hit)
         while len(q):
-            pairs = np.unique(np.repeat(q, graph.shape[1]) * len(x) + np.where(graph[node] < 0, node[:, None], graph[node]).ravel())
+            many = start[node + 1] - start[node]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[node], many)
+            pairs = np.unique(np.repeat(q, many) * len(x) + near[step])
             q, node = pairs // len(x), pairs % len(x)
             new = ~hit[q, node]
             q, node = q[new], node[new]
