@@ -1,71 +1,45 @@
 """Exact order statistics over groups of any size.
 
 ``percentile`` and a plain ranking window hold one group in one task. Here equal
-values are first merged (map-side combine) and stored once. Up to ``SMALL`` stored
-points a ranking window is used. Beyond that the value axis is cut into slots at
-approximate quantiles, running sums are taken inside (group, slot), and the totals of
-the slots below are added. A group with a third of all rows, or one value with a third
-of all rows, is spread over many tasks, and the result is exact whatever the cuts are:
-they only balance the work.
+values are first merged (map-side combine), then the points are range-partitioned by
+(group, value) and stored once. Running sums are taken inside (group, partition), and
+the totals of the partitions before are added. A group with a third of all rows is
+spread over many tasks; one value with a third of all rows is one point. There is one
+plan for every size: Spark draws the ranges, and their number follows its settings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorline.session import materialize
 
-SMALL = 200_000
-SLOT_POINTS = 1_000_000
-SLOTS = (64, 4096)
 
-
-def _slotted(points: DataFrame, value: str, edges: list[float]) -> DataFrame:
-    """``_slot``: the place of the value among the edges (binary search in the JVM)."""
-    splits = [-float("inf"), *edges, float("inf")]
-    cast = points.withColumn("_v", F.col(value).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol="_slot", handleInvalid="keep").transform(cast).drop("_v")
-
-
-def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], small: int = SMALL
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """One row per (keys, value): ``<name>`` (sum at the value), ``cum_<name>`` (sum up
     to and including it, ascending) and ``all_<name>`` (sum of the group)."""
     keys = list(keys)
-    points = materialize(
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
-    )
-    n = points.count()
+    merged = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
+    # Stored with its range number, which a later recomputation could draw otherwise.
+    points = materialize(merged.repartitionByRange(*keys, value).withColumn("_slot", F.spark_partition_id()))
+    totals = points.groupBy(*keys, "_slot").agg(*[F.sum(name).alias(f"_t_{name}") for name in sums])
     every = Window.partitionBy(*keys)
-    if n <= small:
-        rising = every.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return points.select(
-            "*",
-            *[F.sum(name).over(rising).alias(f"cum_{name}") for name in sums],
-            *[F.sum(name).over(every).alias(f"all_{name}") for name in sums],
-        )
-
-    slots = max(SLOTS[0], min(SLOTS[1], n // SLOT_POINTS))
-    cuts = [i / slots for i in range(1, slots)]
-    edges = points.agg(F.percentile_approx(F.col(value).cast("double"), cuts, 10 * slots)).first()[0]
-    slotted = _slotted(points, value, sorted(set(edges)))
-    totals = slotted.groupBy(*keys, "_slot").agg(*[F.sum(name).alias(f"_t_{name}") for name in sums])
     below = every.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
     offsets = totals.select(
-        *keys,
-        "_slot",
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_slot").alias("_k_slot"),
         *[(F.sum(f"_t_{name}").over(below) - F.col(f"_t_{name}")).alias(f"_o_{name}") for name in sums],
         *[F.sum(f"_t_{name}").over(every).alias(f"all_{name}") for name in sums],
     )
     inside = Window.partitionBy(*keys, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    local = slotted.select("*", *[F.sum(name).over(inside).alias(f"_l_{name}") for name in sums])
-    joined = local.join(offsets, keys + ["_slot"])
-    return joined.select(
+    local = points.select("*", *[F.sum(name).over(inside).alias(f"_l_{name}") for name in sums])
+    same = F.col("_slot") == F.col("_k_slot")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return local.join(offsets, same).select(
         *keys,
         value,
         *sums,
@@ -74,11 +48,9 @@ def running_totals(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles (position ``p*(n-1)``) per group: one row per group."""
-    ranked = running_totals(df, keys, value, {"n": F.lit(1)}, small=small)
+    ranked = running_totals(df, keys, value, {"n": F.lit(1)})
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
 
     def at(position: Column) -> Column:

@@ -8,6 +8,7 @@ partitions by the segment keys, so a chain of them needs a single exchange.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -100,9 +101,14 @@ def ema(
     recurrence is linear, so inside a block of ``block_rows`` rows it is a scaled
     running sum; no fold and no Python. With ``long_series`` the group is a
     whole pump: blocks are cut per (keys, date) and their end states are
-    chained, so no task ever holds the rows of a whole pump.
+    chained, so no task ever holds the rows of a whole pump. Blocks are as short as
+    the decay asks for: its power over a block stays within double precision.
     """
     decay = 1.0 - alpha
+    if decay <= 0.0:
+        return df.withColumn(out, F.col(value).cast("double") if seed is None else F.when(F.row_number().over(ordered(keys, ts)) == 1, seed).otherwise(F.col(value)).cast("double"))
+    if decay < 1.0:
+        block_rows = max(1, min(block_rows, int(500 / -math.log(decay))))
     first = seed if seed is not None else F.col(value)
     block_keys = list(keys) + (["date"] if long_series and "date" not in keys else [])
     scan = df.withColumn("_pos", F.row_number().over(ordered(block_keys, ts)) - 1)
@@ -149,18 +155,3 @@ def ema(
     result = F.col("_local") + F.col("_reach") * F.col("_carry")
     helper = ["_pos", "_block", "_scaled", "_local", "_reach", "_block_at", "_carry", "_first_ts"]
     return scan.withColumn(out, result).drop(*helper)
-
-
-def ema_short(
-    df: DataFrame, value: str, out: str, keys: Sequence[str] = SEG, ts: str = TS,
-    alpha: float = 0.3, seed: Column | None = None,
-) -> DataFrame:
-    """``ema`` for segments known to hold at most a few hundred rows: one running sum."""
-    decay = 1.0 - alpha
-    place = F.row_number().over(ordered(keys, ts)) - 1
-    first = seed if seed is not None else F.col(value)
-    scan = df.withColumn("_place", place)
-    weighted = F.when(F.col("_place") == 0, first).otherwise(F.col(value) * alpha)
-    scan = scan.withColumn("_scaled", weighted * F.pow(F.lit(1.0 / decay), F.col("_place")))
-    smooth = F.sum("_scaled").over(so_far(ordered(keys, ts))) * F.pow(F.lit(decay), F.col("_place"))
-    return scan.withColumn(out, smooth).drop("_place", "_scaled")

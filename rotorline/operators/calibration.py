@@ -198,8 +198,7 @@ def resolve_blocks(keys: DataFrame, blocks: DataFrame, columns: Sequence[str]) -
         if "pump_id" in on:
             side = side.withColumnRenamed("scope_pump", "pump_id")
         out = out.join(side.select(*on, name), on, "left")
-    everyone = level("_b4", ~season_named & is_global, False).withColumn("_one", F.lit(1)).select("_one", "_b4")
-    out = out.withColumn("_one", F.lit(1)).join(everyone, "_one", "left")
+    out = out.withColumn("_b4", level("_b4", ~season_named & is_global, False).select("_b4").scalar())
     chosen = F.coalesce("_b1", "_b2", "_b3", "_b4")
     source = (
         F.when(F.col("_b1").isNotNull(), "season_pump").when(F.col("_b2").isNotNull(), "season")
@@ -216,11 +215,9 @@ def resolve_stream_blocks(keys: DataFrame, blocks: DataFrame, level: int) -> Dat
     pump = plain.where((F.col("scope_pump") != GLOBAL) & ~F.col("fallback")).select(
         F.col("scope_pump").alias("pump_id"), F.struct("warning", "alarm", "mean").alias("_p")
     )
-    everyone = plain.where(F.col("scope_pump") == GLOBAL).select(
-        F.lit(1).alias("_one"), F.struct("warning", "alarm", "mean").alias("_g")
-    )
-    out = keys.select("pump_id", "season").distinct().withColumn("_one", F.lit(1))
-    out = out.join(pump, "pump_id", "left").join(everyone, "_one", "left").withColumn("_t", F.coalesce("_p", "_g"))
+    everyone = plain.where(F.col("scope_pump") == GLOBAL).select(F.struct("warning", "alarm", "mean")).scalar()
+    out = keys.select("pump_id", "season").distinct()
+    out = out.join(pump, "pump_id", "left").withColumn("_t", F.coalesce(F.col("_p"), everyone))
     if level == 2:
         seasonal = blocks.where(
             (F.col("scope_season") != ALL_YEAR) & (F.col("scope_pump") != GLOBAL) & ~F.col("fallback")

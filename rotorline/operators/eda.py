@@ -26,12 +26,11 @@ def density_histogram(df: DataFrame, channel: str, group: str, bins: int = N_BIN
     """Density per group over a common range: the 0.5 % to 99.5 % quantiles of all groups (min/max if equal)."""
     rows = df.where(F.col(channel).isNotNull()).select(group, F.col(channel).alias("v"), F.lit(1).alias("_one"))
     q = exact_quantiles(rows, ["_one"], "v", {"_lo": 0.005, "_hi": 0.995})
-    ends = rows.groupBy("_one").agg(F.min("v").alias("_min"), F.max("v").alias("_max"))
-    q = q.join(ends, "_one")
+    ends = rows.agg(F.min("v").alias("_min"), F.max("v").alias("_max"))
     flat = F.col("_hi") <= F.col("_lo")
-    edges = q.select("_one", F.when(flat, F.col("_min")).otherwise(F.col("_lo")).alias("lo"),
-                     F.when(flat, F.col("_max")).otherwise(F.col("_hi")).alias("hi"))
-    placed = rows.join(edges, "_one").withColumn("bin", bin_of(F.col("v"), F.col("lo"), F.col("hi"), bins))
+    low = q.select(F.when(flat, ends.select("_min").scalar()).otherwise(F.col("_lo"))).scalar()
+    high = q.select(F.when(flat, ends.select("_max").scalar()).otherwise(F.col("_hi"))).scalar()
+    placed = rows.withColumns({"lo": low, "hi": high}).withColumn("bin", bin_of(F.col("v"), F.col("lo"), F.col("hi"), bins))
     counts = placed.where(F.col("bin").isNotNull()).groupBy(group, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(group).agg(F.sum("n").alias("_all"))
     width = (F.col("hi") - F.col("lo")) / bins

@@ -295,16 +295,18 @@ def holdout_check(opt: DataFrame, holdout: DataFrame, thresholds: DataFrame, bes
 
     def total(df: DataFrame, th: DataFrame, name: str) -> DataFrame:
         r = evaluate_thresholds(df, th, min_steps).where(F.col("pump_id").isNull())
-        return r.select(F.lit(1).alias("_one"), F.col("fa_rate").alias(name), F.col("detection_rate").alias(f"{name}_det"))
+        return r.select(F.col("fa_rate").alias(name), F.col("detection_rate").alias(f"{name}_det"))
 
-    out = total(holdout, scaled, "new").join(total(holdout, thresholds, "base"), "_one")
-    out = out.join(total(opt, scaled, "opt_new"), "_one").join(total(opt, thresholds, "opt_base"), "_one")
+    out = total(holdout, scaled, "new")
+    for df, th, name in ((holdout, thresholds, "base"), (opt, scaled, "opt_new"), (opt, thresholds, "opt_base")):
+        one = total(df, th, name)
+        out = out.withColumns({c: one.select(c).scalar() for c in one.columns})
     new_pumps = evaluate_thresholds(holdout, scaled, min_steps).select("pump_id", F.col("detection_rate").alias("_n"))
     old_pumps = evaluate_thresholds(holdout, thresholds, min_steps).select("pump_id", F.col("detection_rate").alias("_o"))
     worse = new_pumps.where(F.col("pump_id").isNotNull()).join(old_pumps, "pump_id").agg(
         F.count(F.when(F.col("_n") < F.col("_o"), 1)).alias("pumps_worse")
-    ).withColumn("_one", F.lit(1))
-    out = out.join(worse, "_one")
+    )
+    out = out.withColumn("pumps_worse", worse.scalar())
     cut = (F.col("base") - F.col("new")) * 100.0
     gap = F.abs((F.col("opt_base") - F.col("opt_new")) * 100.0 - cut)
     accepted = (cut >= HOLDOUT["fa_cut_pp"]) & (F.col("pumps_worse") == 0) & (gap < HOLDOUT["overfit_pp"])
@@ -363,14 +365,14 @@ def policy_metrics(flags: DataFrame, subset_pump: int) -> DataFrame:
         "det_rate": F.round(F.col("n_det") / F.greatest("n_abnormal", F.lit(1)), 4),
         "s_fa_rate": F.round(F.col("s_fa") / F.greatest("s_normal", F.lit(1)), 4),
     })
-    base = m.where(F.col("policy") == "baseline").select(F.lit(1).alias("_one"), F.col("fa_rate").alias("_fa"), F.col("s_fa_rate").alias("_sfa"))
-    out = m.withColumn("_one", F.lit(1)).join(base, "_one")
+    base = m.where(F.col("policy") == "baseline")
+    out = m.withColumns({"_fa": base.select("fa_rate").scalar(), "_sfa": base.select("s_fa_rate").scalar()})
     accepted = (
         (F.col("recovered") >= GATES["recovered"])
         & (F.round((F.col("fa_rate") - F.col("_fa")) * 100, 6) <= GATES["fa_pp"])
         & (F.round((F.col("s_fa_rate") - F.col("_sfa")) * 100, 6) <= GATES["subset_fa_pp"])
     )
-    return out.withColumn("accepted", accepted.cast("int")).drop("_one", "_fa", "_sfa")
+    return out.withColumn("accepted", accepted.cast("int")).drop("_fa", "_sfa")
 
 
 def z_sweep(days: DataFrame, thresholds: Sequence[float], floor: int = RECOVER_AT_LEAST) -> DataFrame:

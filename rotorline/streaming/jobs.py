@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotorline.session import shared_folder
+
 LATE = "10 minutes"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (a temporary one only when none is named)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named}/{uuid.uuid4()}" if named else tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4()}"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:

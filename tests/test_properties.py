@@ -47,6 +47,13 @@ def test_ema_blocks(spark, block):
     assert np.allclose(seeded, fold(x, first=9.0), rtol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [0.95, 0.999, 1.0])
+def test_ema_fast_decay(spark, alpha):
+    x = np.random.default_rng(7).random(400)
+    got = [r[0] for r in ordered(ema(segment(spark, x), "x", "e", alpha=alpha, seed=F.lit(9.0)), "e")]
+    assert np.allclose(got, fold(x, alpha, first=9.0), rtol=1e-10)
+
+
 def test_ema_long_series(spark):
     """A whole pump chained over days; longer than the closed form could reach."""
     rng = np.random.default_rng(6)
@@ -68,14 +75,17 @@ def hot_frame(spark, n=4000, seed=2):
     return spark.createDataFrame(rows, "k int, v double, bad boolean"), rows
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_quantiles_and_running_totals(spark, small):
+@pytest.mark.parametrize("narrow", [False, True])
+def test_quantiles_and_running_totals(spark, narrow):
     df, rows = hot_frame(spark)
-    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.987}, small=small).collect()}
+    if narrow:  # one key with all values close together, the others far away
+        rows = [(k, v / 1e6 if k == 0 else v, b) for k, v, b in rows]
+        df = spark.createDataFrame(rows, "k int, v double, bad boolean")
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.987}).collect()}
     for k in got:
         v = [r[1] for r in rows if r[0] == k]
         assert np.allclose([got[k]["a"], got[k]["b"], got[k]["c"]], np.quantile(v, [0.01, 0.5, 0.987]))
-    totals = running_totals(df, ["k"], "v", {"n": F.lit(1)}, small=small).collect()
+    totals = running_totals(df, ["k"], "v", {"n": F.lit(1)}).collect()
     for r in totals[:200]:
         assert r["cum_n"] == sum(1 for x in rows if x[0] == r["k"] and x[1] <= r["v"])
 
