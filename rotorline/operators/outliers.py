@@ -13,7 +13,7 @@ from rotorline.config import SystemConfig
 from rotorline.operators.features import sample_rows
 
 # --- Fixed values -----------------------------------------------------------
-N_TREES, TREE_ROWS, POOL_ROWS = 200, 256, 8192
+N_TREES, TREE_ROWS = 200, 256
 LOF_NEIGHBOURS, LOF_REFERENCE, LOF_OFFSET = 20, 15_000, 1.5
 KEEP_VARIANCE = 0.95
 EULER = 0.5772156649015329
@@ -76,9 +76,10 @@ def isolation_forest(train: DataFrame, df: DataFrame, vector: str, key: Sequence
 
     The forest is at most ``n_trees`` x 511 nodes whatever the data size. Higher is worse.
     """
-    pool = sample_rows(train.select(*key, vector), POOL_ROWS, list(key), seed=seed)
-    ids = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
-    spread = pool.withColumn("tree", ids).withColumn("_h", F.xxhash64("tree", *key, F.lit(seed)))
+    # Every tree draws from all rows: those whose hash with the tree is below a share that leaves twice as many as needed.
+    share = min(1.0, 2.0 * TREE_ROWS / max(train.count(), 1))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.pmod(F.xxhash64(t, *key, F.lit(seed)), F.lit(1 << 31)) < int(share * (1 << 31)))
+    spread = train.select(*key, vector).withColumn("tree", F.explode(drawn)).withColumn("_h", F.xxhash64("tree", *key, F.lit(seed)))
     w = Window.partitionBy("tree").orderBy("_h", *key)
     picked = spread.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= TREE_ROWS).select("tree", "_k", vector)
 
@@ -126,7 +127,8 @@ def _density(dist: np.ndarray, kdist_of: np.ndarray) -> np.ndarray:
 
 def local_outlier_factor(train: DataFrame, df: DataFrame, vector: str, key: Sequence[str], k: int = LOF_NEIGHBOURS,
                          max_reference: int = LOF_REFERENCE, seed: int = 42, out: str = "lof") -> DataFrame:
-    """Local outlier factor of every row against a reference sample of at most ``max_reference`` rows.
+    """Local outlier factor of every row against a reference sample of at most ``max_reference`` rows (about
+    15 000 by default, a documented bound of the model: raise it to use more of the training rows).
 
     Sampling the reference is the operator's definition (the whole set when it is smaller). Its neighbour
     lists are computed in parallel; only the reference itself, bounded by ``max_reference``, is broadcast.

@@ -17,7 +17,7 @@ from rotorline.functions.series import SEG, TS, last_rows, ordered, runs, second
 # --- Fixed values -----------------------------------------------------------
 OK, MISSING, NULL, OUT_OF_RANGE, FALL_DOWN, FROZEN = 0, 1, 2, 3, 4, 5
 CODE_NAMES = {0: "OK", 1: "Missing", 2: "Null", 3: "Out of range", 4: "Fall down", 5: "Frozen"}
-MAX_SEGMENT_POINTS = 86_400
+GAP_BLOCK = 4096
 # ---------------------------------------------------------------------------
 
 AGGREGATES = {
@@ -53,20 +53,19 @@ def fill_gaps(df: DataFrame, step_seconds: int, keys: Sequence[str] = SEG, ts: s
     values = [c for c in df.columns if c not in (*keys, ts)]
     t = F.unix_micros(ts)
     out = df.withColumn("_t0", F.min(t).over(whole(keys))).withColumn("_t", t)
-    out = out.withColumn("_span", (F.max("_t").over(whole(keys)) - F.col("_t0")) / step)
     out = out.withColumn("_next", F.lead("_t").over(ordered(keys, ts)))
     first_k = F.floor((F.col("_t") - F.col("_t0")) / step) + 1
     last_k = F.ceil((F.col("_next") - F.col("_t0")) / step) - 1
-    too_long = F.raise_error(F.lit("segment spans more grid points than a day can hold")).cast("array<bigint>")
-    none = F.array().cast("array<bigint>")
-    missing = (
-        F.when(F.col("_span") > MAX_SEGMENT_POINTS, too_long)
-        .when(last_k >= first_k, F.sequence(first_k, last_k))
-        .otherwise(none)
-    )
-    own = F.array(F.struct(F.col("_t").alias("t"), F.lit(False).alias("inserted")))
-    added = F.transform(missing, lambda k: F.struct((F.col("_t0") + k * step).alias("t"), F.lit(True).alias("inserted")))
-    out = out.withColumn("_point", F.explode(F.concat(own, added)))
+    # The row itself, then its gap in blocks, so that no array is longer than a block however long the gap.
+    own = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi"), F.lit(False).alias("inserted")))
+    blocks = F.transform(
+        F.when(last_k >= first_k, F.sequence(first_k, last_k, F.lit(GAP_BLOCK).cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
+        lambda k: F.struct(k.alias("lo"), F.least(k + (GAP_BLOCK - 1), last_k).alias("hi"), F.lit(True).alias("inserted")))
+    out = out.withColumn("_piece", F.explode(F.concat(own, blocks)))
+    out = out.withColumn("_k", F.explode(F.sequence(F.col("_piece.lo"), F.col("_piece.hi"))))
+    inserted = F.col("_piece.inserted")
+    t = F.when(inserted, F.col("_t0") + F.col("_k") * step).otherwise(F.col("_t"))
+    out = out.withColumn("_point", F.struct(t.alias("t"), inserted.alias("inserted")))
     inserted = F.col("_point.inserted")
     return out.select(
         *keys,

@@ -245,3 +245,12 @@ def test_outlier_vote_is_unanimous(spark):
     df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names))
     votes = {r["id"]: r["vote_lof"] + r["vote_forest"] + r["vote_mahalanobis"] for r in O.period_votes(df, names, ["id"], F.col("id") < 200, 30.0, 0.6).collect()}
     assert votes[200] == 3 and sum(v == 3 for v in votes.values()) <= 3
+
+
+def test_gaps_longer_than_a_day_of_seconds(spark):
+    from rotorline.operators.quality import fill_gaps
+
+    df = spark.createDataFrame([(1, at(0).date(), at(t), 1.0) for t in (0, 46_800)], "pump_id int, date date, ts timestamp, x double")
+    out = fill_gaps(df, 0.5)
+    assert out.count() == 93_601 and out.where("not inserted").count() == 2
+    assert out.select("ts").distinct().count() == 93_601
