@@ -81,3 +81,11 @@ def test_catalog_imports_without_a_session():
     root = __file__.rsplit("/tests/", 1)[0]
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip().endswith("True"), out.stderr[-500:]
+
+
+@pytest.mark.parametrize("name", ["eda_01_density_histogram", "eva_18_policy_metrics", "joi_08_threshold_chain", "joi_09_stream_thresholds"])
+def test_one_row_sides_are_scalars(spark, name):
+    from rotorline.plans.catalog import QUERIES
+
+    plan = QUERIES[name].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
