@@ -17,7 +17,7 @@ HEADLINE = (
     "per_01_operation_periods", "det_24_annotation_run", "joi_01_nearest_join", "fea_02_smoothing", "sco_07_level1_days",
     "sco_12_smoothed_error", "fus_08_rate_limit", "cal_10_conformal_quantile", "eva_01_auc", "eva_14_multiplier_search",
     "mon_08_seasonal_stats", "out_02_local_outlier_factor", "str_09_stream_resample",
-    "sco_17_step_table", "eva_15_holdout_check", "eva_16_seasonal_evaluation", "mon_14_error_examples", "det_20_outlier_vote", "str_01_detector_stream",
+    "sco_17_step_table", "eva_15_holdout_check", "eva_16_seasonal_evaluation", "mon_14_error_examples", "det_20_outlier_vote",
 )
 
 
