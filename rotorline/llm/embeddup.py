@@ -13,8 +13,10 @@ Vectors of one label are compared by cosine. Equal vectors are one node with a c
 3. ``linked``: lists and links of all shards are united. Nodes that share no shard but are both near a third are met by
    expanding over the united lists, which are short: of two nodes linked through a third, the list entry is within
    twice the range, so only such entries are kept. Candidates are verified, until a round finds nothing.
-4. ``audited``: about ``AUDIT`` nodes, chosen by hash, are compared with all nodes of their label; if fewer than
-   ``RECALL`` of their true links were found, everything is done again with one more copy per node.
+4. ``audit``: of every label that was split, and of all others together, about ``AUDIT`` nodes, chosen by hash, are
+   compared with all nodes of their label, and eight times as many each time until ``LINKING`` of them have links or
+   all nodes are asked. Labels of which fewer than ``RECALL`` of these links were found are done again with one more
+   copy per node; what misses the bound three times is compared exactly, block by block.
 
 Links give components; rows get their node's component and count links to other rows, equal vectors included.
 
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ from rotorline.llm.components import components
 COSINE = 0.98
 LIMIT, TARGET, SAMPLE, COPIES = 4096, 1500, 128, 2
 APART, SPLITS = 0.9, 3  # pivots have a lower cosine than this
-AUDIT, RECALL = 200, 0.97
+AUDIT, LINKING, RECALL = 200, 100, 0.97
+BLOCK = 2048
 
 
 def usable(embedding: Column) -> Column:
@@ -181,39 +183,74 @@ def linked(shards: DataFrame, cosine: float = COSINE) -> DataFrame:
         links = cut(links.union(fresh))
 
 
-def audit(nodes: DataFrame, links: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> float:
-    """Share of the true links of about ``queries`` nodes that were found; 1 if they have none."""
-    count = nodes.count()
-    asked = nodes.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(max(count, 1))) < queries).select("node", "shard", "embedding").collect()
-    if not asked:
-        return 1.0
-    groups = {s: ([r.node for r in asked if r.shard == s], unit(r.embedding for r in asked if r.shard == s)) for s in {r.shard for r in asked}}
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            a, b = [], []
-            for shard, rows in frame.groupby("shard"):
-                if shard in groups:
-                    ids, x = groups[shard]
-                    i, j = np.nonzero(unit(rows["embedding"]) @ x.T >= cosine)
-                    a += rows["node"].to_numpy()[i].tolist()
-                    b += [ids[k] for k in j]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    true = nodes.select("node", "shard", "embedding").mapInArrow(compared, "a long, b long").where("a <> b")
-    true = cut(true.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    total = true.count()
-    return true.join(links, ["a", "b"], "left_semi").count() / total if total else 1.0
+def compared(nodes: DataFrame, asked: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """a (asked), b: all links of the asked nodes to nodes of their label, by comparing blocks of ``BLOCK`` nodes."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        rows, others = block[block["asks"]], block[~block["asks"]]
+        if not len(rows) or not len(others):
+            return pd.DataFrame({"a": [], "b": []})
+        i, j = np.nonzero(unit(rows["embedding"]) @ unit(others["embedding"]).T >= cosine)
+        return pd.DataFrame({"a": rows["node"].to_numpy()[i], "b": others["node"].to_numpy()[j]})
+
+    parts = lambda df, name: df.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    plan = cut(parts(asked, "of_asked").join(parts(nodes, "of_nodes"), "shard"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    own = lambda name: F.pmod(F.xxhash64("node", F.lit("block")), F.col(name)).cast("int")
+    left = asked.join(plan, "shard").select("shard", own("of_asked").alias("i"), every("of_nodes").alias("j"), "node", "embedding", F.lit(True).alias("asks"))
+    right = nodes.join(plan, "shard").select("shard", every("of_asked").alias("i"), own("of_nodes").alias("j"), "node", "embedding", F.lit(False).alias("asks"))
+    return left.unionByName(right).groupBy("shard", "i", "j").applyInPandas(run, "a long, b long").where("a <> b")
+
+
+def audit(nodes: DataFrame, links: DataFrame, shards: DataFrame, cosine: float = COSINE, queries: int = AUDIT, linking: int = LINKING) -> DataFrame:
+    """shard (label and length), true, found: of every audited stratum's asked nodes the true links, and those in ``links``.
+
+    A label that was split is a stratum, all others together are one. ``queries`` nodes of a stratum are asked, then
+    eight times as many, until ``linking`` of them have true links or all its nodes are asked.
+    """
+    dealt = shards.select("node", F.col("shard").alias("dealt")).join(nodes.select("node", "shard"), "node").where("dealt <> shard")
+    split = dealt.select("shard", F.col("shard").alias("split")).distinct()
+    strata = cut(nodes.groupBy("shard").agg(F.count("*").alias("size")).join(split, "shard", "left").withColumn("stratum", F.coalesce("split", F.lit(""))).drop("split"))
+    sizes = strata.groupBy("stratum").agg(F.sum("size").alias("total"))
+    strata = cut(strata.join(sizes, "stratum").select("shard", "stratum", "total"))
+    done, going = None, strata
+    while not going.isEmpty():
+        here = nodes.join(going, "shard").select("node", "shard", "embedding", "stratum", "total")
+        asked = here.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.col("total")) < queries).select("node", "shard", "embedding")
+        true = cut(compared(here.select("node", "shard", "embedding"), asked, cosine))
+        pairs = true.select(F.col("a").alias("node"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = pairs.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("node").agg(F.count("*").alias("true"), F.count("hit").alias("found"))
+        named = met.join(nodes.select("node", "shard"), "node").join(going, "shard")
+        sums = named.groupBy("stratum").agg(F.sum("true").alias("true"), F.sum("found").alias("found"), F.count("*").alias("linking"))
+        state = cut(going.join(sums, "stratum", "left").fillna(0, ["true", "found", "linking"]))
+        enough = (F.col("linking") >= linking) | (F.col("total") <= queries)
+        ready = state.where(enough).select("shard", "true", "found")
+        done = ready if done is None else done.unionByName(ready)
+        going = state.where(~enough).select("shard", "stratum", "total")
+        queries *= 8
+    return cut(done if done is not None else strata.select("shard", F.lit(0).alias("true"), F.lit(0).alias("found")))
+
+
+def links_of(nodes: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
+    """a, b: verified links, a < b. Labels that miss the audit are done again, and at last compared exactly."""
+    kept, left = None, nodes
+    for copies in range(COPIES, COPIES + 3):
+        shards = cut(sharded(left, copies))
+        links = cut(linked(shards, cosine))
+        missed = cut(audit(left, links, shards, cosine).where(F.col("found") < recall * F.col("true")).select("shard"))
+        again = cut(left.join(missed, "shard", "left_semi"))
+        good = links if again.isEmpty() else links.join(again.select(F.col("node").alias("a")), "a", "left_anti").select("a", "b")
+        kept = good if kept is None else kept.union(good)
+        left = again
+        if left.isEmpty():
+            return kept
+    return kept.union(compared(left, left, cosine).where("a < b").select("a", "b"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id."""
     nodes = cut(nodes_of(vectors))
-    for copies in range(COPIES, COPIES + 3):
-        links = cut(linked(cut(sharded(nodes, copies)), cosine))
-        if audit(nodes, links, cosine) >= recall:
-            break
+    links = cut(links_of(nodes, cosine, recall))
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(nodes.select(F.col("node").alias("b"), "rows"), "b").groupBy("a").agg(F.sum("rows").alias("more"))
     reached = components(links)

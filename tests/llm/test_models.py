@@ -66,6 +66,21 @@ def test_embedding_rows_that_repeat_or_lack(spark):
     assert all(r.n_links == 0 and r.component_id == r.vec_id for r in embeddup.near_duplicates(vectors_of(spark, [None, None], [1, None])).collect())
 
 
+def test_embedding_links_that_every_attempt_loses(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    x = [*x, *(x[:3] + 0.01 * rng.normal(size=(3, 16)))]
+    labels = [0] * len(x)
+    links, root = brute(x, labels)
+    assert sum(map(len, links.values())) == 6
+    monkeypatch.setattr(embeddup, "AUDIT", 20)
+    monkeypatch.setattr(embeddup.audit, "__defaults__", (embeddup.COSINE, 20, 5))
+    monkeypatch.setattr(embeddup, "BLOCK", 250)
+    monkeypatch.setattr(embeddup, "linked", lambda shards, cosine: shards.select(shards.node.alias("a"), shards.node.alias("b")).limit(0))
+    got = {r.vec_id: r for r in embeddup.near_duplicates(vectors_of(spark, x, labels)).collect()}
+    assert all(got[i].n_links == len(links[i]) and got[i].component_id == root[i] for i in range(len(x)))
+
+
 def test_range_search_recall():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(150, 24))
