@@ -144,6 +144,25 @@ def test_echoes_count_little():
     assert ((post > 0.5) == toxic)[solid.sum(1) > 1].mean() > 0.97
 
 
+def test_pipeline_drops_near_copies(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for n, changed in [(100, 2), (300, 3), (300, 5), (1000, 10), (1000, 20), (100, 10)]:
+        for _ in range(6):
+            words = rng.integers(0, 5000, n)
+            copy = words.copy()
+            copy[rng.choice(n, changed, replace=False)] += 5000
+            texts += [" ".join(f"w{w}" for w in x) for x in (words, copy)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(0, len(texts), 2):
+        if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]):
+            root[i + 1] = i
+    assert len(texts) - len(set(root)) > 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()} == set(root)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(90001, None, "en", "x", 0), (90002, "", "en", None, 0), (90003, "", "en", "x", 0), (90004, "you idiot, you pathetic moron", "en", "x", 1), (None, "no id here", "en", "x", 1)], docs.schema)
