@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rotorline.llm import ctw, decontaminate, embeddup, htmltext, mixing, quality, sharding, simhash, toxicity, urlfilter
+from rotorline.llm import ctw, decontaminate, embeddup, htmltext, mixing, pieces, quality, runs, search, sharding, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
+    "op11_ranked_search": search.op11_ranked_search,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
@@ -22,4 +25,5 @@ ORACLES = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
     "op9_sharding": sharding.ORACLE,
+    "op11_ranked_search": search.ORACLE,
 }
