@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,12 +18,22 @@ STATE_STORE = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 )
 OUTPUT = (
-    "pump_id int, ts timestamp, late boolean, step long, l1_distance double, l1_status string, l1_health double, "
-    "l2_raw double, l2_smoothed double, l2_status string, l2_health double, status_raw string, status string, "
+    "pump_id int, ts timestamp, season string, season_changed boolean, step long, l1_distance double, l1_status string, "
+    "l1_health double, l2_raw double, l2_smoothed double, l2_status string, l2_health double, status_raw string, status string, "
     "health double, alert_fired boolean, session_alert_steps long, session_flagged boolean"
 )
-NEEDED = ("us", "reset", "l1_valid", "l1_distance", "l1_status", "l1_health", "l2_warning", "l2_alarm", "l2_mean")
 FIELDS = [part.strip().split(" ")[0] for part in OUTPUT.split(",")]
+#: What a row brings to its step besides its channels.
+CARRIED = {
+    "season": "string", "l1_valid": "boolean", "l1_distance": "double", "l1_status": "string", "l1_health": "double",
+    "l2_warning": "double", "l2_alarm": "double", "l2_mean": "double",
+}
+#: State of one pump; the buffered rows lie one after another in ``row_values``.
+STATE = {
+    "total": "long", "last_us": "long", "day": "long", "day_rows": "long", "ema": "double", "run": "long", "last_alert_us": "long",
+    "session": "long", "season": "string", "season_changes": "long", "resets": "long", "next_ms": "long", "previous": "array<double>",
+    "row_us": "array<long>", "row_days": "array<long>", "row_values": "array<double>",
+}
 
 
 def level1_columns(channels: Sequence[str]) -> dict[str, Column]:
@@ -61,64 +71,96 @@ def prepare(rows: DataFrame, predictions, level1: DataFrame, level2: DataFrame,
 
 
 class Detector(StatefulProcessor):
-    """State per pump: scalars in one value state, the bounded row buffer in a list state."""
+    """Rows wait in a map keyed by event time until the watermark has passed them and then step in order.
+
+    So what comes out depends on the rows alone, not on how they were dealt into batches. Of several rows of one pump
+    and time the smallest counts, whichever came first. Rows that Spark drops as late are the only ones that do not step.
+    A row with ``reset`` forgets the pump's state; a row with ``heartbeat`` moves nothing but the watermark.
+    """
 
     def __init__(self, cfg: StepConfig, channels: Sequence[str]):
         self.cfg, self.channels = cfg, list(channels)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scalars = handle.getValueState(
-            "scalars",
-            "total long, last_us long, day long, day_rows long, ema double, run long, last_alert_us long, session long, "
-            "previous array<double>",
-        )
-        self.rows = handle.getListState("rows", "us long, day long, vals array<double>")
-
-    def _load(self) -> PumpState:
-        if not self.scalars.exists():
-            return PumpState()
-        total, last_us, day, day_rows, ema, run, alert, session, previous = self.scalars.get()
-        kept = [(us, d, np.array([np.nan if v is None else v for v in vals])) for us, d, vals in self.rows.get()]
-        prev = None if previous is None else np.array([np.nan if v is None else v for v in previous])
-        return PumpState(total, last_us, day, day_rows, ema, run, alert, session, prev, kept)
-
-    def _save(self, s: PumpState) -> None:
-        def plain(v: np.ndarray) -> list:
-            return [None if np.isnan(x) else float(x) for x in v]
-
-        self.scalars.update((
-            s.total, s.last_us, s.day, s.day_rows, s.ema, s.run, s.last_alert_us, s.session,
-            None if s.previous is None else plain(s.previous),
-        ))
-        self.rows.put([(us, d, plain(v)) for us, d, v in s.rows])
+        self.handle = handle
+        self.pump = handle.getValueState("pump", ", ".join(f"{n} {t}" for n, t in STATE.items()))
+        waiting = ", ".join(f"{n} {t}" for n, t in CARRIED.items())
+        self.waiting = handle.getMapState("waiting", "us long, reset boolean", f"{waiting}, channels array<double>")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Take over what ``stored_state`` read from another run."""
+        for r in initialState.itertuples(index=False):
+            self.pump.update(tuple(None if n == "next_ms" else _plain(getattr(r, n)) for n in STATE))
+
+    def _load(self) -> tuple[PumpState, dict]:
+        extra = {"season": None, "season_changes": 0, "resets": 0, "next_ms": None}
+        if not self.pump.exists():
+            return PumpState(), extra
+        v = dict(zip(STATE, self.pump.get(), strict=True))
+        values = _numbers(v["row_values"]).reshape(len(v["row_us"]), len(self.channels))
+        rows = list(zip(v["row_us"], v["row_days"], values, strict=True))
+        state = PumpState(*[v[n] for n in ("total", "last_us", "day", "day_rows", "ema", "run", "last_alert_us", "session")],
+                          None if v["previous"] is None else _numbers(v["previous"]), rows)
+        return state, {n: v[n] for n in extra}
+
+    def _save(self, s: PumpState, extra: dict) -> None:
+        held = {
+            **{n: getattr(s, n) for n in ("total", "last_us", "day", "day_rows", "ema", "run", "last_alert_us", "session")}, **extra,
+            "previous": None if s.previous is None else _plain(s.previous), "row_us": [int(r[0]) for r in s.rows],
+            "row_days": [int(r[1]) for r in s.rows], "row_values": [x for r in s.rows for x in _plain(r[2])],
+        }
+        self.pump.update(tuple(held[n] for n in STATE))
+
+    def _wake(self, extra: dict, us: int | None) -> None:
+        """One timer a pump: just after the earliest row that waits."""
+        at = None if us is None else us // 1000 + 1
+        if at is not None and (extra["next_ms"] is None or at < extra["next_ms"]):
+            if extra["next_ms"] is not None:
+                self.handle.deleteTimer(extra["next_ms"])
+            self.handle.registerTimer(at)
+            extra["next_ms"] = at
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable")
-        state, out = self._load(), []
-        values = batch[self.channels].to_numpy(dtype=float)
-        for i, r in enumerate(batch[list(NEEDED)].itertuples(index=False)):
-            if r.reset:
-                state = PumpState()
-                continue
-            base = {"pump_id": key[0], "ts": pd.Timestamp(r.us, unit="us"), "late": bool(r.us <= state.last_us)}
-            level1 = {"l1_distance": r.l1_distance, "l1_status": r.l1_status, "l1_health": r.l1_health}
-            if base["late"]:
-                # Older than the last processed event time: reported, never scored out of order.
-                out.append({**base, **level1})
+        state, extra = self._load()
+        earliest = None
+        for frame in rows:
+            values = frame[self.channels].to_numpy(dtype=float)
+            for i, r in enumerate(frame[["us", "reset", *CARRIED]].itertuples(index=False)):
+                at, brought = (int(r.us), bool(r.reset)), (*[_plain(x) for x in r[2:]], _plain(values[i]))
+                if self.waiting.containsKey(at) and _order(tuple(self.waiting.getValue(at))) <= _order(brought):
+                    continue
+                self.waiting.updateValue(at, brought)
+                earliest = at[0] if earliest is None else min(earliest, at[0])
+        self._wake(extra, earliest)
+        self._save(state, extra)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, extra = self._load()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        extra["next_ms"] = None
+        times = sorted((int(us), not reset) for us, reset in self.waiting.keys())
+        out = []
+        for us, is_row in [t for t in times if t[0] < passed]:
+            brought = dict(zip([*CARRIED, "channels"], self.waiting.getValue((us, not is_row)), strict=True))
+            self.waiting.removeKey((us, not is_row))
+            if not is_row:
+                state, extra = PumpState(), {**extra, "season": None, "resets": extra["resets"] + 1}
                 continue
-            result = step(state, self.cfg, {
-                "us": int(r.us), "values": values[i], "l1_valid": bool(r.l1_valid), "l1_status": r.l1_status,
-                "l1_health": r.l1_health, "l2_warning": r.l2_warning, "l2_alarm": r.l2_alarm, "l2_mean": r.l2_mean,
-            })
-            out.append({**base, **level1, **result})
-        self._save(state)
+            changed = extra["season"] is not None and brought["season"] != extra["season"]
+            extra["season"], extra["season_changes"] = brought["season"], extra["season_changes"] + changed
+            result = step(state, self.cfg, {**brought, "us": us, "values": _numbers(brought["channels"])})
+            level1 = {n: brought[n] for n in ("season", "l1_distance", "l1_status", "l1_health")}
+            out.append({"pump_id": key[0], "ts": pd.Timestamp(us, unit="us"), "season_changed": bool(changed), **level1, **result})
+        self._wake(extra, next((t[0] for t in times if t[0] >= passed), None))
+        self._save(state, extra)
         frame = pd.DataFrame(out, columns=FIELDS)
         for c in ("step", "session_alert_steps"):
             frame[c] = frame[c].astype("Int64")
-        for c in ("alert_fired", "session_flagged", "late"):
+        for c in ("season_changed", "alert_fired", "session_flagged"):
             frame[c] = frame[c].astype("boolean")
-        for c in ("l1_status", "l2_status", "status_raw", "status"):
-            frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+        for c in ("l2_raw", "l2_smoothed", "l2_health", "l1_distance", "l1_health", "health"):
+            frame[c] = frame[c].astype(float)
         if len(frame):
             yield frame
 
@@ -126,42 +168,49 @@ class Detector(StatefulProcessor):
         pass
 
 
-def detect_stream(prepared: DataFrame, cfg: StepConfig, channels: Sequence[str], watermark: str = "10 minutes") -> DataFrame:
-    """Full result per row. Duplicates of (pump, time) inside the watermark are dropped first."""
-    if "reset" not in prepared.columns:
-        prepared = prepared.withColumn("reset", F.lit(False))
+def _plain(value):
+    """Python values without NaN, as the state store takes them."""
+    if isinstance(value, list | tuple | np.ndarray):
+        return [_plain(x) for x in value]
+    value = value.item() if isinstance(value, np.generic) else value
+    return None if value is None or value is pd.NA or isinstance(value, float) and np.isnan(value) else value
+
+
+def _numbers(values) -> np.ndarray:
+    return np.array([np.nan if v is None else v for v in values], dtype=float)
+
+
+def _order(brought: tuple) -> tuple:
+    """A total order of what rows bring, missing values first."""
+    return tuple((x is not None, _order(tuple(x)) if isinstance(x, list) else 0 if x is None else x) for x in brought)
+
+
+def detect_stream(
+    prepared: DataFrame, cfg: StepConfig, channels: Sequence[str], watermark: str = "10 minutes", initial: DataFrame | None = None
+) -> DataFrame:
+    """Full result per row, once the watermark has passed it. ``initial``: a table of ``stored_state`` to start from."""
+    for flag in ("reset", "heartbeat"):
+        if flag not in prepared.columns:
+            prepared = prepared.withColumn(flag, F.lit(False))
     if not np.isfinite(cfg.means).all():
         raise ValueError("every channel needs a training mean: the bounded buffer relies on it")
-    once = prepared.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["pump_id", "us", "reset"])
-    picked = once.select("pump_id", *NEEDED, *[F.col(c).cast("double").alias(c) for c in channels])
+    # The test names the time so that it stays above the watermark, which heartbeats are to move.
+    timed = prepared.withWatermark("ts", watermark).where(~F.coalesce("heartbeat", F.lit(False)) | F.col("ts").isNull())
+    carried = [F.col(n).cast(t).alias(n) for n, t in CARRIED.items()]
+    picked = timed.select("pump_id", "us", "ts", F.coalesce("reset", F.lit(False)).alias("reset"), *carried, *[F.col(c).cast("double").alias(c) for c in channels])
     return picked.groupBy("pump_id").transformWithStateInPandas(
-        statefulProcessor=Detector(cfg, channels), outputStructType=OUTPUT, outputMode="append", timeMode="none"
+        statefulProcessor=Detector(cfg, channels), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime",
+        initialState=None if initial is None else initial.select("pump_id", *STATE).groupBy("pump_id"),
     )
 
 
-def replay_days(prepared: DataFrame, cfg: StepConfig, channels: Sequence[str]) -> DataFrame:
-    """The same steps in batch with the state reset per pump-day (evaluation of labelled days).
+def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """pump_id and the state that a stopped or running detector last committed, read by Spark's state data source."""
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pump").load()
+    return held.select(F.col("key.pump_id").alias("pump_id"), "value.*")
 
-    A group is one day of gridded rows.
-    """
-    channels = list(channels)
-    schema = "date date, " + OUTPUT
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        state, out = PumpState(), []
-        values = pdf[channels].to_numpy(dtype=float)
-        for i, r in enumerate(pdf[["date", "pump_id", *NEEDED]].itertuples(index=False)):
-            result = step(state, cfg, {
-                "us": int(r.us), "values": values[i], "l1_valid": bool(r.l1_valid), "l1_status": r.l1_status,
-                "l1_health": r.l1_health, "l2_warning": r.l2_warning, "l2_alarm": r.l2_alarm, "l2_mean": r.l2_mean,
-            })
-            out.append({
-                "date": r.date, "pump_id": r.pump_id, "ts": pd.Timestamp(r.us, unit="us"), "late": False,
-                "l1_distance": r.l1_distance, "l1_status": r.l1_status, "l1_health": r.l1_health, **result,
-            })
-        return pd.DataFrame(out, columns=["date", *FIELDS])
-
-    rows = prepared if "reset" in prepared.columns else prepared.withColumn("reset", F.lit(False))
-    picked = rows.select("pump_id", "date", *NEEDED, *[F.col(c).cast("double").alias(c) for c in channels])
-    return picked.groupBy("pump_id", "date").applyInPandas(run, schema)
+
+def control_rows(like: DataFrame, pumps: DataFrame, at: Column, reset: bool) -> DataFrame:
+    """Rows that steer the detector, with the columns of ``like``: resets of the pumps listed, or heartbeats."""
+    rows = pumps.select("pump_id", at.alias("ts")).withColumns({"reset": F.lit(reset), "heartbeat": F.lit(not reset)})
+    return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])

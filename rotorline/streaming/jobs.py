@@ -27,10 +27,10 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_tri
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there into Parquet and read it back."""
+def run_available(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Process what is there into Parquet and read it back; with the ``base`` of an earlier run, go on from where it stopped."""
     spark = stream.sparkSession
-    base = scratch(spark)
+    base = base or scratch(spark)
     job = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

@@ -1,4 +1,4 @@
-"""The streaming detector: bounded = unbounded buffer, stream = sequential steps, late rows, reset."""
+"""The streaming detector: bounded = unbounded buffer, any batches = sequential steps, late rows, restart, reset, hand-over."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotorline.streaming import jobs
-from rotorline.streaming.detector import detect_stream
+from rotorline.streaming.detector import detect_stream, stored_state
 from rotorline.streaming.step import DAY_US, NEAR_US, PumpState, StepConfig, smooth_day, step
 
 US0 = 1_704_153_600_000_000  # 2024-01-02 UTC
@@ -92,57 +92,105 @@ def test_warm_up_and_missing_level_one():
 def frame(spark, rows, pump=1, **extra):
     data = [(pump, us, *[None if np.isnan(x) else float(x) for x in v]) for us, v in rows]
     df = spark.createDataFrame(data, "pump_id int, us long, a double, b double")
-    df = df.withColumn("ts", F.timestamp_micros("us")).withColumn("reset", F.lit(False))
-    fixed = {"l1_valid": True, "l1_distance": 1.0, "l1_status": "NORMAL", "l1_health": 90.0, "l2_warning": 1.0, "l2_alarm": 1.5, "l2_mean": 0.5}
+    df = df.withColumn("ts", F.timestamp_micros("us"))
+    fixed = {
+        "reset": False, "heartbeat": False, "season": "winter", "l1_valid": True, "l1_distance": 1.0, "l1_status": "NORMAL", "l1_health": 90.0,
+        "l2_warning": 1.0, "l2_alarm": 1.5, "l2_mean": 0.5,
+    }
     return df.withColumns({k: F.lit(v) for k, v in {**fixed, **extra}.items()})
 
 
-def streamed(spark, parts, cfg, tmp_path):
+def heartbeat(spark, us):
+    return frame(spark, [(us, np.zeros(2))], heartbeat=True)
+
+
+def streamed(spark, parts, cfg, folder, watermark="10 minutes", base=None, initial=None):
     """Each part is one file and one micro-batch."""
-    folder = str(tmp_path / "in")
     for df in parts:
         df.coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return jobs.run_available(detect_stream(stream, cfg, ["a", "b"]))
+    return jobs.run_available(detect_stream(stream, cfg, ["a", "b"], watermark, initial), base=base)
 
 
-@pytest.mark.parametrize("chunk", [30, 120])
-def test_stream_equals_sequential_steps(spark, tmp_path, chunk):
-    cfg = config(6)
-    pumps = {1: make_rows(1, 90), 2: make_rows(2, 90)}
-    parts = [
-        frame(spark, pumps[1][i:i + chunk], 1).unionByName(frame(spark, pumps[2][i:i + chunk], 2)).orderBy(F.desc("us"))
-        for i in range(0, 90, chunk)
-    ]
-    got = {(r["pump_id"], r["step"]): r for r in streamed(spark, parts, cfg, tmp_path).collect()}
-    assert len(got) == 180
+def sequential(pumps, cfg):
+    out = {}
     for pump, rows in pumps.items():
         state = PumpState()
-        for k, (us, v) in enumerate(rows):
-            r = step(state, cfg, {**BASE, "us": us, "values": v})
-            g = got[pump, k]
-            assert (g["l2_status"], g["status"], g["alert_fired"]) == (r["l2_status"], r["status"], r["alert_fired"])
-            assert (g["l2_smoothed"] is None) == (r["l2_smoothed"] is None)
-            if r["l2_smoothed"] is not None:
-                assert g["l2_smoothed"] == pytest.approx(r["l2_smoothed"], rel=1e-12)
+        for us, v in rows:
+            out[pump, us] = step(state, cfg, {**BASE, "us": us, "values": v})
+    return out
+
+
+def same(rows, want):
+    got = {(r["pump_id"], int(r["us"])): r for r in rows.withColumn("us", F.unix_micros("ts")).collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        for name, value in w.items():
+            assert got[k][name] == (pytest.approx(value, rel=1e-12) if isinstance(value, float) else value), (k, name)
 
 
-def test_late_duplicate_and_reset(spark, tmp_path):
+@pytest.mark.parametrize("deal", ["one", "four", "shuffled"])
+def test_batches_do_not_matter(spark, tmp_path, deal):
+    """The same rows in one batch, in four by time, and in four at random with rows up to days late, doubled and disagreeing."""
+    cfg = config(6)
+    pumps = {1: make_rows(1, 90), 2: make_rows(2, 90)}
+    end = max(rows[-1][0] for rows in pumps.values())
+    every = frame(spark, pumps[1], 1).unionByName(frame(spark, pumps[2], 2))
+    larger = every.where("us % 7 = 0 and a is not null").withColumn("a", F.col("a") + 1)  # a second version of some rows, never the smallest
+    every = every.unionByName(larger).withColumn("part", {
+        "one": F.lit(0), "four": F.floor((F.col("us") - US0) * 4 / (end - US0 + 1)), "shuffled": F.pmod(F.hash("us", "pump_id", "a"), F.lit(4))}[deal])
+    parts = [every.where(F.col("part") == q).drop("part") for q in range(1 if deal == "one" else 4)]
+    late = "40 days" if deal == "shuffled" else "10 minutes"
+    same(streamed(spark, [*parts, heartbeat(spark, end + 50 * DAY_US)], cfg, str(tmp_path / "in"), late), sequential(pumps, cfg))
+
+
+def test_rows_wait_for_the_watermark_and_late_ones_are_dropped(spark, tmp_path):
     cfg = config(3)
     rows = [(US0 + i * 300_000_000, np.zeros(2)) for i in range(8)]
-    late = [(rows[3][0] + 1_000_000, np.ones(2))]
-    fresh = [(rows[7][0] + 300_000_000, np.zeros(2))]
-    reset = frame(spark, [(fresh[0][0] - 1_000_000, np.zeros(2))]).withColumn("reset", F.lit(True))
-    first = frame(spark, rows).unionByName(frame(spark, rows[:3]))
-    out = streamed(spark, [first, frame(spark, late), reset.unionByName(frame(spark, fresh))], cfg, tmp_path).collect()
-    on_time = [r for r in out if not r["late"]]
-    assert sorted(r["step"] for r in on_time) == [0, 0, 1, 2, 3, 4, 5, 6, 7]
-    # A row behind the watermark is dropped by Spark, one behind the last processed time is reported as late.
-    assert all(r["step"] is None for r in out if r["late"])
+    # Rows up to minute 25 step in the second batch. Minute 32 still comes in order there, minute 3 is too late in the third.
+    second = [(US0 + 32 * 60_000_000, np.ones(2))]
+    third = [(US0 + 40 * 60_000_000, np.zeros(2)), (US0 + 3 * 60_000_000, np.ones(2))]
+    out = streamed(spark, [frame(spark, rows), frame(spark, second), frame(spark, third)], cfg, str(tmp_path / "in"))
+    got = [(r["step"], (r["us"] - US0) // 60_000_000) for r in out.withColumn("us", F.unix_micros("ts")).orderBy("ts").collect()]
+    # The watermark ends at minute 30: what is later keeps waiting in the state.
+    assert got == [(i, 5 * i) for i in range(6)]
+    rest = streamed(spark, [heartbeat(spark, US0 + DAY_US)], cfg, str(tmp_path / "in"), base=str(tmp_path / "again"))
+    assert [(r["us"] - US0) // 60_000_000 for r in rest.withColumn("us", F.unix_micros("ts")).orderBy("ts").collect()] == [0, 5, 10, 15, 20, 25, 30, 32, 35, 40]
+
+
+def test_restart_reset_and_stored_state(spark, tmp_path):
+    cfg, base, folder = config(3), str(tmp_path / "run"), str(tmp_path / "in")
+    pumps = {p: [(US0 + i * 300_000_000, np.full(2, float(i))) for i in range(10)] for p in (1, 2)}
+    at = pumps[1][6][0]
+    control = frame(spark, [(at, np.zeros(2))], 1, reset=True)
+    first = frame(spark, pumps[1][:5], 1).unionByName(frame(spark, pumps[2][:5], 2))
+    second = frame(spark, pumps[1][5:], 1).unionByName(frame(spark, pumps[2][5:], 2, season="spring")).unionByName(control)
+    streamed(spark, [first], cfg, folder, base=base)
+    middle = {r["pump_id"]: r for r in stored_state(spark, f"{base}/state").collect()}
+    assert {p: (r["total"], r["resets"]) for p, r in middle.items()} == {1: (2, 0), 2: (2, 0)}  # three rows wait
+    out = streamed(spark, [second, heartbeat(spark, US0 + DAY_US)], cfg, folder, base=base)
+    # The reset comes before the row of the same time.
+    want = sequential({1: pumps[1][:6], 2: pumps[2]}, cfg) | sequential({1: pumps[1][6:]}, cfg)
+    same(out, want)
+    held = {r["pump_id"]: r for r in stored_state(spark, f"{base}/state").collect()}
+    assert (held[1]["total"], held[1]["resets"], held[2]["total"], held[2]["resets"]) == (4, 1, 10, 0)
+    assert (held[1]["season_changes"], held[2]["season_changes"], held[2]["season"]) == (0, 1, "spring")
+    assert out.where("season_changed").count() == 1
+    assert held[2]["ema"] == pytest.approx(want[2, pumps[2][-1][0]]["l2_smoothed"]) and held[2]["row_us"] == [us for us, _ in pumps[2]]
+
+
+def test_a_new_query_takes_over_stored_state(spark, tmp_path):
+    cfg = config(3)
+    rows = {1: make_rows(4, 60), 2: make_rows(5, 60)}
+    cut = rows[1][30][0]
+    halves = [[frame(spark, [r for r in rs if (r[0] < cut) == early], p) for p, rs in rows.items()] for early in (True, False)]
+    base = str(tmp_path / "first")
+    one = streamed(spark, [halves[0][0].unionByName(halves[0][1]), heartbeat(spark, cut + 600_000_000)], cfg, str(tmp_path / "a"), base=base)
+    held = stored_state(spark, f"{base}/state")
+    two = streamed(spark, [halves[1][0].unionByName(halves[1][1]), heartbeat(spark, cut + 90 * DAY_US)], cfg, str(tmp_path / "b"), initial=held)
+    same(one.unionByName(two), sequential(rows, cfg))
 
 
 def test_training_mean_is_required(spark):
     with pytest.raises(ValueError):
         detect_stream(frame(spark, make_rows(1, 5)), StepConfig(3, np.zeros(2), np.ones(2), np.array([np.nan, 0.0])), ["a", "b"])
-
-
