@@ -84,6 +84,27 @@ def runs(df: DataFrame, flags: dict[str, Column], keys: Sequence[str] = SEG, ts:
     return out.withColumns(extra).drop("_n", *[f"_{name}_next" for name in flags])
 
 
+def affine_prefix(df: DataFrame, keys: Sequence[str], order: str, rounds: int, mul: str = "_mul", add: str = "_add") -> DataFrame:
+    """Replaces the maps x -> mul*x + add by the compositions of all maps of the group up to each row.
+
+    Doubling: after round j a row holds the composition of the last 2**j maps, so ``rounds`` of them suffice for
+    2**rounds rows a group. All rounds share one sort; factors that underflow are zeros, which is right.
+    """
+    w = ordered(keys, order)
+    for j in range(rounds):
+        before = F.coalesce(F.lag(add, 2**j).over(w), F.lit(0.0))
+        df = df.withColumns({
+            add: F.col(add) + F.col(mul) * before, mul: F.col(mul) * F.coalesce(F.lag(mul, 2**j).over(w), F.lit(1.0)),
+        })
+    return df
+
+
+# --- Fixed values -----------------------------------------------------------
+DAY_ROWS = 86_400  # a segment's readings are at least a second apart
+DAYS = 1 << 16  # of one pump
+# ---------------------------------------------------------------------------
+
+
 def ema(
     df: DataFrame,
     value: str,
@@ -92,66 +113,44 @@ def ema(
     ts: str = TS,
     alpha: float = 0.3,
     seed: Column | None = None,
-    block_rows: int = 256,
+    block_rows: int | None = None,
     long_series: bool = False,
 ) -> DataFrame:
     """Exponential moving average ``e[t] = alpha*x[t] + (1-alpha)*e[t-1]``.
 
-    ``seed`` replaces the first value of the series (``None`` keeps it). The
-    recurrence is linear, so inside a block of ``block_rows`` rows it is a scaled
-    running sum; no fold and no Python. With ``long_series`` the group is a
-    whole pump: blocks are cut per (keys, date) and their end states are
-    chained, so no task ever holds the rows of a whole pump. Blocks are as short as
-    the decay asks for: its power over a block stays within double precision.
+    ``seed`` replaces the first value of the series (``None`` keeps it). A row is an affine map of the state before it,
+    and maps compose. Inside a block the composition is a scaled running sum; a block is as long as the decay allows
+    before its powers leave double precision. The blocks of a day compose by ``affine_prefix``; with ``long_series`` the
+    group is a whole pump and its days compose the same way, so no task ever holds more than a day's rows, a day's
+    blocks or a pump's days, and no list is collected.
     """
     decay = 1.0 - alpha
-    if decay <= 0.0:
-        return df.withColumn(out, F.col(value).cast("double") if seed is None else F.when(F.row_number().over(ordered(keys, ts)) == 1, seed).otherwise(F.col(value)).cast("double"))
-    if decay < 1.0:
-        block_rows = max(1, min(block_rows, int(500 / -math.log(decay))))
     first = seed if seed is not None else F.col(value)
-    block_keys = list(keys) + (["date"] if long_series and "date" not in keys else [])
-    scan = df.withColumn("_pos", F.row_number().over(ordered(block_keys, ts)) - 1)
+    if decay <= 0.0:
+        return df.withColumn(out, F.when(F.row_number().over(ordered(keys, ts)) == 1, first).otherwise(F.col(value)).cast("double"))
+    if block_rows is None:
+        block_rows = DAY_ROWS if decay >= 1.0 else max(1, min(DAY_ROWS, int(600 / -math.log(decay))))
+    day_keys = [*keys, "date"] if long_series and "date" not in keys else list(keys)
+    inner = [*day_keys, "_block"]
+    scan = df.withColumn("_pos", F.row_number().over(ordered(day_keys, ts)) - 1)
     scan = scan.withColumn("_block", (F.col("_pos") / block_rows).cast("int"))
     place = F.col("_pos") % block_rows
-    inner = list(block_keys) + ["_block"]
-
-    if not long_series:
-        # Later blocks of the segment start from the block before: chain them below too.
-        starts = F.col("_pos") == 0
-    else:
-        firsts = df.groupBy(*keys).agg(F.min(ts).alias("_first_ts"))
-        scan = scan.join(firsts, list(keys))
-        starts = (F.col("_pos") == 0) & (F.col(ts) == F.col("_first_ts"))
-
-    weighted = F.when(starts, first).otherwise(F.col(value) * alpha)
-    scan = scan.withColumn("_scaled", weighted * F.pow(F.lit(1.0 / decay), place))
-    scan = scan.withColumn(
-        "_local", F.sum("_scaled").over(so_far(ordered(inner, ts))) * F.pow(F.lit(decay), place)
-    ).withColumn("_reach", F.pow(F.lit(decay), place + 1))
-
+    scan = scan.withColumn("_scaled", F.col(value) * alpha * F.pow(F.lit(1.0 / decay), place)).withColumns({
+        "_local": F.sum("_scaled").over(so_far(ordered(inner, ts))) * F.pow(F.lit(decay), place), "_reach": F.pow(F.lit(decay), place + 1),
+    })
+    # The state before the first row that makes the first result what it must be.
+    origin = F.coalesce((first - F.col(value) * alpha) / decay, F.lit(0.0))
     ends = scan.groupBy(*inner).agg(
-        F.max_by("_local", "_pos").alias("_end"),
-        F.max_by("_reach", "_pos").alias("_mul"),
-        F.min(ts).alias("_at"),
-    )
-    chain = ends.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_at", "_end", "_mul"))).alias("_blocks")
-    )
-    carried = F.aggregate(
-        "_blocks",
-        F.struct(F.lit(0.0).alias("state"), F.array().cast("array<double>").alias("seen")),
-        lambda acc, b: F.struct(
-            (b["_end"] + b["_mul"] * acc["state"]).alias("state"),
-            F.array_append(acc["seen"], acc["state"]).alias("seen"),
-        ),
-        lambda acc: acc["seen"],
-    )
-    carry = chain.withColumn("_carry", carried).select(
-        *keys, F.explode(F.arrays_zip("_blocks", "_carry")).alias("_z")
-    ).select(*keys, F.col("_z._blocks._at").alias("_block_at"), F.col("_z._carry").alias("_carry"))
-    scan = scan.withColumn("_block_at", F.min(ts).over(whole(inner)))
-    scan = scan.join(carry, list(keys) + ["_block_at"])
+        F.max_by("_local", "_pos").alias("_add"), F.max_by("_reach", "_pos").alias("_mul"), F.min_by(origin.cast("double"), "_pos").alias("_origin"))
+    ends = affine_prefix(ends, day_keys, "_block", math.ceil(math.log2(DAY_ROWS / block_rows + 1)))
+    w = ordered(day_keys, "_block")
+    if day_keys != list(keys):
+        days = ends.groupBy(*day_keys).agg(*[F.max_by(c, "_block").alias(c) for c in ("_add", "_mul")], F.min_by("_origin", "_block").alias("_origin"))
+        days = affine_prefix(days, keys, "date", int(math.log2(DAYS)))
+        d = ordered(keys, "date")
+        before = F.lag("_mul").over(d) * F.first("_origin").over(d) + F.lag("_add").over(d)
+        ends = ends.drop("_origin").join(days.select(*day_keys, F.coalesce(before, F.col("_origin")).alias("_origin")), day_keys)
+    start = F.first("_origin").over(w)
+    carry = ends.select(*inner, F.coalesce(F.lag("_mul").over(w) * start + F.lag("_add").over(w), start).alias("_carry"))
     result = F.col("_local") + F.col("_reach") * F.col("_carry")
-    helper = ["_pos", "_block", "_scaled", "_local", "_reach", "_block_at", "_carry", "_first_ts"]
-    return scan.withColumn(out, result).drop(*helper)
+    return scan.join(carry, inner).withColumn(out, result).drop("_pos", "_block", "_scaled", "_local", "_reach", "_carry")

@@ -54,6 +54,23 @@ def test_ema_fast_decay(spark, alpha):
     assert np.allclose(got, fold(x, alpha, first=9.0), rtol=1e-10)
 
 
+@pytest.mark.parametrize("alpha", [0.3, 0.001])
+def test_ema_of_a_million_rows_of_one_pump(spark, alpha):
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit(1).alias("pump_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 7).alias("ts"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 100.0).alias("x"))
+    rows = rows.withColumn("date", F.to_date("ts"))
+    frame = ema(rows, "x", "e", ["pump_id"], alpha=alpha, long_series=True)
+    assert "collect_list" not in frame._jdf.queryExecution().toString()
+    got = frame.where("unix_seconds(ts) % 999 = 0").select(((F.unix_seconds("ts") - 1_704_067_200) / 7).cast("long").alias("i"), "e").collect()
+    x = [r.x for r in rows.orderBy("ts").select("x").collect()]
+    state, want = x[0], {}
+    for i, v in enumerate(x):
+        state = v if i == 0 else alpha * v + (1 - alpha) * state
+        want[i] = state
+    assert len(got) > 900 and all(r.e == pytest.approx(want[r.i], rel=1e-9) for r in got)
+
+
 def test_ema_long_series(spark):
     """A whole pump chained over days; longer than the closed form could reach."""
     rng = np.random.default_rng(6)
