@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorline.config import SystemConfig
-from rotorline.functions.series import SEG, TS, ordered, plus_seconds, seconds, so_far, whole
+from rotorline.functions.series import SEG, TS, backwards, ordered, plus_seconds, seconds, so_far, whole
 
 # --- Fixed values -----------------------------------------------------------
 MAD_SCALE = 1.4826
@@ -23,14 +23,16 @@ PERIOD = ("pump_id", "date", "period_id")
 
 
 def mark_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
-    """Rows with the operation periods of their segment in ``periods`` (array, in time order).
+    """Rows with the operation period that each one opens or closes, if any.
 
-    ON runs are merged over short gaps and kept when long enough. A run opens a period
-    unless the gap to the ON row before it is short, so periods are numbered by a running
-    sum over the rows: one exchange, no join, no second scan.
+    ON runs are merged over short gaps and kept when long enough. A run opens a period unless the gap to the ON row
+    before it is short, so runs are numbered by a running sum over the rows. Adds ``_us``, ``interval_s``, ``_opens`` and
+    ``_closes`` (true on the first and last row of a period that counts) and, on the opening row only, ``_p``: its
+    start, end, duration_seconds, n_rows and the ON row before it. One exchange, no join, no list.
     """
     th = cfg.thresholds
-    w = ordered(keys, ts)
+    df = df.withColumn("_us", F.unix_micros(ts))
+    w = ordered(keys, "_us")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumns({
         "_on": F.coalesce(F.col(cfg.columns.speed) > th.speed_on_threshold, F.lit(False)),
@@ -49,7 +51,7 @@ def mark_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts
     own = Window.partitionBy(*keys, "_no")
     on_ts, on_rn = F.when(F.col("_on"), F.col(ts)), F.when(F.col("_on"), F.col("_rn"))
     out = out.withColumns({
-        "_start": F.min(on_ts).over(own), "_end": F.max(on_ts).over(own),
+        "_start": F.min(on_ts).over(own), "_end": F.max(on_ts).over(own), "_end_rn": F.max(on_rn).over(own),
         "_rows": F.max(on_rn).over(own) - F.min(on_rn).over(own) + 1,
     })
     duration = seconds("_end") - seconds("_start") + F.col("interval_s")
@@ -60,48 +62,55 @@ def mark_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts
         F.col("_start").alias("start"), F.col("_end").alias("end"), duration.alias("duration_seconds"),
         F.col("_rows").alias("n_rows"), F.col("_last_on").alias("on_before"),
     )
-    found = F.collect_list(F.when(F.col("_open") & (duration >= needed), entry)).over(whole(keys))
-    out = out.withColumn("periods", F.sort_array(found))
-    return out.drop("_on", "_gap", "_rn", "_was_on", "_last_on", "_open", "_no", "_start", "_end", "_rows")
+    counts = F.coalesce((F.col("_no") > 0) & (duration >= needed), F.lit(False))
+    out = out.withColumns({
+        "_opens": F.col("_open") & counts, "_closes": counts & (F.col("_rn") == F.col("_end_rn")), "_p": F.when(F.col("_open") & counts, entry),
+    })
+    return out.drop("_on", "_gap", "_rn", "_was_on", "_last_on", "_open", "_no", "_start", "_end", "_end_rn", "_rows")
 
 
 def detect_periods(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
     """One row per period: ``start``, ``end``, ``duration_seconds``, ``n_rows`` (rows between start and end,
     merged gaps included) and the segment's ``interval_s``."""
-    marked = mark_periods(df.select(*keys, ts, cfg.columns.speed), cfg, keys, ts)
-    per_segment = marked.groupBy(*keys).agg(F.first("periods").alias("periods"), F.max("interval_s").alias("interval_s"))
-    return _each_period(per_segment, keys, ["interval_s"])
-
-
-def _each_period(df: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    out = df.select(*keys, *carry, F.posexplode("periods").alias("_at", "_p"))
-    return out.select(*keys, (F.col("_at") + 1).alias("period_id"), "_p.*", *carry).drop("on_before")
+    opened = mark_periods(df.select(*keys, ts, cfg.columns.speed), cfg, keys, ts).where("_opens")
+    number = F.row_number().over(ordered(keys, "_us"))
+    return opened.select(*keys, number.alias("period_id"), "_p.*", "interval_s").drop("on_before")
 
 
 def period_rows(df: DataFrame, cfg: SystemConfig, keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
-    """Each period with the rows of its segment up to ``off_window_seconds`` after it and the flags detectors need."""
+    """Each period with the rows of its segment up to ``off_window_seconds`` after it and the flags detectors need.
+
+    A row belongs to the period it lies in, to the OFF windows around it, and to the stretch after the last ON row before
+    the next period. Periods do not overlap, so these are the periods from one number to another, and both numbers are
+    counts of openings and closings up to a time. The opening row brings the period's own values to the others.
+    """
     th, speed = cfg.thresholds, F.col(cfg.columns.speed)
     p_off = cfg.columns.pressure_off
     marked = mark_periods(df, cfg, keys, ts)
-    margin = th.near_period_seconds
-    near = F.exists("periods", lambda p: F.col(ts).between(plus_seconds(p["start"], -margin), plus_seconds(p["end"], margin)))
-    apart = (speed == 0) & ~near
+    margin, window = int(th.near_period_seconds * 1e6), int(th.off_window_seconds * 1e6)
+
+    def up_to(flag: str, offset_us: int) -> Column:
+        return F.coalesce(F.sum(F.col(flag).cast("int")).over(ordered(keys, "_us").rangeBetween(Window.unboundedPreceding, offset_us)), F.lit(0))
+
+    following = backwards(keys, "_us").rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumns({
+        "_begun": up_to("_opens", 0), "_near": up_to("_opens", margin) - up_to("_closes", -margin - 1) > 0,
+        "_low": up_to("_closes", -window - 1) + 1, "_high": up_to("_opens", window),
+    }).withColumn("_next", F.last("_p", ignorenulls=True).over(following))
+    apart = (speed == 0) & ~F.col("_near")
     pressure = F.col(p_off) if p_off in df.columns else F.lit(None).cast("double")
+    since_on = F.col("_next.on_before").isNull() | (F.col("_us") >= F.unix_micros("_next.on_before") + margin)
     marked = marked.withColumns({
         "segment_pressure_off": F.avg(F.when(apart, pressure)).over(whole(keys)),
         "segment_current_off": F.avg(F.when(apart, F.col(cfg.columns.current))).over(whole(keys)),
         "segment_off_rows": F.count(F.when(apart, 1)).over(whole(keys)),
+        "_high": F.when(F.col("_next").isNotNull() & since_on, F.greatest("_high", F.col("_begun") + 1)).otherwise(F.col("_high")),
     })
-    # A row belongs to the period it lies in, to the OFF windows around it, and to the stretch after the last
-    # ON row before the next period: a few periods, never every period of the segment.
-    numbered = F.transform("periods", lambda p, i: F.struct((i + 1).alias("period_id"), p.alias("p")))
-    window = th.off_window_seconds
-    own = F.filter(numbered, lambda x: (F.col(ts) <= plus_seconds(x["p"]["end"], window)) & (
-        (F.col(ts) >= plus_seconds(x["p"]["start"], -window)) | x["p"]["on_before"].isNull()
-        | (F.col(ts) >= plus_seconds(x["p"]["on_before"], margin))))
-    joined = marked.withColumn("_x", F.explode(own)).select(
-        "*", "_x.period_id", "_x.p.start", "_x.p.end", "_x.p.duration_seconds", "_x.p.n_rows", F.col("_x.p.on_before").alias("_last_on")
-    ).drop("_x", "periods")
+    joined = marked.where("_low <= _high").withColumn("period_id", F.explode(F.sequence("_low", "_high")))
+    opening = F.when(F.col("_opens") & (F.col("_begun") == F.col("period_id")), F.col("_p"))
+    joined = joined.withColumn("_p", F.max(opening).over(Window.partitionBy(*keys, "period_id")))
+    joined = joined.select("*", *[f"_p.{c}" for c in ("start", "end", "duration_seconds", "n_rows")], F.col("_p.on_before").alias("_last_on")).drop(
+        "_us", "_opens", "_closes", "_p", "_begun", "_near", "_low", "_high", "_next")
     t, start, end = F.col(ts), F.col("start"), F.col("end")
     inside = (t >= start) & (t <= end)
     steady_from, steady_to = plus_seconds(start, th.ramp_exclude_seconds), plus_seconds(end, -th.ramp_exclude_seconds)

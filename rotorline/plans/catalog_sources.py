@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from rotorline.operators import annotation, monitoring, quality
 from rotorline.plans import sql as S
 from rotorline.plans import views as V
 from rotorline.plans.registry import query, shape
-from rotorline.session import materialize
+from rotorline.session import materialize, shared_folder
 from rotorline.sources import files, sinks, tables
 
 Spark = SparkSession
@@ -62,10 +64,52 @@ def load_by_position(spark: Spark, sf: str) -> DataFrame:
         F.col("value").cast("string").alias("Speed rpm"),
         F.col("user_id").cast("string").alias("extra_a"),
     )
-    cfg = SystemConfig(excluded_source_columns=(1,), clean_names=("timestamp", "ambient_temp", "speed"), supplementary_names=("extra_a", "extra_b"))
+    cfg = SystemConfig(excluded_source_columns=(1,), clean_names=("timestamp", "ambient_temp", "speed"), supplementary_columns={"extra_a": "extra_a", "none": "extra_b"})
     return shape(files.by_position(text, cfg))
 
 
+# Four shapes of file by machine: complete; with further columns; without the excluded column; with a column missing.
+_CSV = SystemConfig(
+    pump_ids=tuple(range(1, 5)), file_pattern=r"pump_id=(\d+)/date=(\d{4}-\d{2}-\d{2})/[^/]*\.csv$", excluded_source_columns=(1,), expected_source_count=4,
+    clean_names=("timestamp", "ambient_temp", "speed"), supplementary_columns={"User": "user", "Nowhere": "nothing"})
+
+
+def _csv_days(spark: Spark, sf: str) -> str:
+    """The events as CSV files in folders by machine and day; every machine's files have their own header."""
+    e = V.raw(spark, sf)
+    text = e.select(
+        ((F.col("pump_id") - 1) % 5 + 1).alias("pump_id"), "date",
+        F.when(F.col("event_id") % 13 == 0, "broken").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("Time"),
+        F.col("sensor").alias("Unit"), F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("Ambient"),
+        F.col("value").alias("Speed rpm"), F.lit("a, b").alias("Note"), F.col("user_id").alias("User"))
+    shapes = (["Time", "Unit", "Ambient", "User"], ["Time", "Unit", "Ambient", "Speed rpm", "Note", "User"], ["Time", "Ambient", "Speed rpm"], ["Time", "Ambient"], ["Time", "Unit", "Ambient", "User"])
+    folder = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4()}"
+    for k, names in enumerate(shapes):
+        own = text.where(F.col("pump_id") == k + 1).select("pump_id", "date", *names)
+        own.repartition("date").write.mode("append").partitionBy("pump_id", "date").option("header", "true").csv(folder)
+    return folder
+
+
+S.cte("csv_rows", ("raw",), """SELECT (pump_id - 1) % 5 + 1 AS pump_id, date, event_id, user_id, try_cast(CASE WHEN event_id % 13 = 0 THEN 'broken' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS ts,
+  try_cast(CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS ambient_temp, CAST(value AS DOUBLE) AS value FROM raw""")
+
+
+@query("src_02_csv_files", S.with_(("csv_rows",), f"""SELECT {S.SEGS}, {S.t()}, {S.r('ambient_temp')}, {S.r("CASE WHEN pump_id = 1 THEN user_id ELSE value END", 'speed')}, {S.r("CASE WHEN pump_id < 3 THEN user_id END", 'user')},
+  {S.r('CAST(NULL AS DOUBLE)', 'nothing')} FROM csv_rows WHERE pump_id < 4 AND ts IS NOT NULL"""))
+def csv_files(spark: Spark, sf: str) -> DataFrame:
+    """Real files, each read by its own header; pump 4's have too few columns, pump 5 is not configured."""
+    return shape(files.load_days(spark, _csv_days(spark, sf), _CSV), ["pump_id", "date", "ts", "ambient_temp", "speed", "user", "nothing"])
+
+
+@query("src_02_file_report", S.with_(("csv_rows",), f"""SELECT {S.SEGS}, {S.i('CASE pump_id WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 3 ELSE 2 END', 'n_columns')}, {S.i('count(*)', 'n_rows')},
+  CASE WHEN pump_id = 4 THEN 'unexpected column count 2' END AS problem FROM csv_rows WHERE pump_id < 5 GROUP BY pump_id, date"""))
+def csv_report(spark: Spark, sf: str) -> DataFrame:
+    """What the loader says about every file that it finds."""
+    told = files.file_report(spark, _csv_days(spark, sf), _CSV)
+    found = files.discover(told.select("path"), _CSV)
+    return shape(told.join(found, "path"), ["pump_id", "date", "n_columns", "n_rows", "problem"])
+
+
 # Raw measurement times of a machine-day, truncated to whole seconds: at most 86 400 per segment.
 S.cte("seconds", ("raw",), "SELECT DISTINCT pump_id, date, date_trunc('second', ts) AS ts FROM raw")
 
@@ -107,31 +151,32 @@ def running_filter(spark: Spark, sf: str) -> DataFrame:
     return shape(kept.groupBy("pump_id", "sensor").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
 
 
-# Packed days: the values of one sensor bucketed to ten minutes, NULL where nothing arrived.
-S.cte("packed", ("raw",), """SELECT pump_id, date, 600 AS timestep, [m[k] FOR k IN range(0, 144)] AS value FROM (
-  SELECT pump_id, date, map_from_entries(list((slot, v))) AS m FROM (SELECT pump_id, date, CAST(hour(ts) * 6 + minute(ts) // 10 AS BIGINT) AS slot, avg(value) AS v
-  FROM raw WHERE sensor = 'signup' GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+# Packed days: the values of a sensor bucketed to ten minutes, NULL where nothing arrived.
+S.cte("packed", ("raw",), """SELECT pump_id, sensor, date, 600 AS timestep, [m[k] FOR k IN range(0, 144)] AS value FROM (
+  SELECT pump_id, sensor, date, map_from_entries(list((slot, v))) AS m FROM (SELECT pump_id, sensor, date, CAST(hour(ts) * 6 + minute(ts) // 10 AS BIGINT) AS slot, avg(value) AS v
+  FROM raw GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)""")
 
 
 def _packed(spark: Spark, sf: str) -> DataFrame:
-    rows = V.raw(spark, sf).where(F.col("sensor") == "signup")
+    rows = V.raw(spark, sf)
     slot = F.hour("ts") * 6 + F.floor(F.minute("ts") / 10)
-    cells = rows.groupBy("pump_id", "date", slot.cast("int").alias("slot")).agg(F.avg("value").alias("v"))
-    day = cells.groupBy("pump_id", "date").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
+    cells = rows.groupBy("pump_id", "sensor", "date", slot.cast("int").alias("slot")).agg(F.avg("value").alias("v"))
+    day = cells.groupBy("pump_id", "sensor", "date").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
     value = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda k: F.try_element_at("m", k))
-    one = day.select("pump_id", "date", F.lit(1).alias("arrival"), F.lit(600).alias("timestep"), value.alias("value"))
+    one = day.select("pump_id", "sensor", "date", F.lit(1).alias("arrival"), F.lit(600).alias("timestep"), value.alias("value"))
     # A second, later copy of every day: the first must win.
     again = one.withColumns({"arrival": F.lit(2), "value": F.transform("value", lambda v: v + 1000.0)})
     return one.unionByName(again)
 
 
-@query("src_07_packed_days", S.with_(("packed",), f"""SELECT {S.i('pump_id')}, {S.t()}, {S.r('value')} FROM (
-  SELECT pump_id, time_bucket(INTERVAL 1 HOUR, CAST(date AS TIMESTAMP) + to_seconds(i * timestep)) AS ts, avg(v) AS value
-  FROM (SELECT pump_id, date, timestep, unnest(value) AS v, unnest(range(0, 144)) AS i FROM packed)
-  WHERE CAST(date AS TIMESTAMP) + to_seconds(i * timestep) < TIMESTAMP '2024-01-20' GROUP BY 1, 2) WHERE value IS NOT NULL"""))
+@query("src_07_packed_days", S.with_(("packed",), f"""SELECT {S.i('pump_id')}, sensor, {S.t()}, {S.r('value')} FROM (
+  SELECT pump_id, sensor, time_bucket(INTERVAL 1 HOUR, CAST(date AS TIMESTAMP) + to_seconds(i * timestep)) AS ts, avg(v) AS value
+  FROM (SELECT pump_id, sensor, date, timestep, unnest(value) AS v, unnest(range(0, 144)) AS i FROM packed)
+  WHERE CAST(date AS TIMESTAMP) + to_seconds(i * timestep) < TIMESTAMP '2024-02-01' GROUP BY 1, 2, 3) WHERE value IS NOT NULL"""))
 def packed_days(spark: Spark, sf: str) -> DataFrame:
-    end = F.lit("2024-01-20").cast("timestamp")
-    return shape(tables.unpack_days(_packed(spark, sf), end=end, bucket_seconds=3600))
+    """Every sensor of every machine; the range ends after the table's last day."""
+    end = F.lit("2024-02-01").cast("timestamp")
+    return shape(tables.unpack_days(_packed(spark, sf), ["pump_id", "sensor"], end=end, bucket_seconds=3600))
 
 
 _SENSOR_SQL = "SELECT 'Main HTF Pump ' || (p_partkey % 4) || ' ' || p_type AS name, CAST(p_partkey % 3 AS VARCHAR) AS number, p_size FROM part"
@@ -244,9 +289,9 @@ def missing_sensors(spark: Spark, sf: str) -> DataFrame:
     return shape(tables.missing_sensors(reported, configured))
 
 
-@query("src_19_strict_load", f"SELECT {S.i('event_id')}, {S.t()} FROM events WHERE event_type = 'error'")
+@query("src_19_strict_load", f"SELECT {S.i('event_id')}, {S.t()} FROM events")
 def strict_load(spark: Spark, sf: str) -> DataFrame:
-    e = V.raw(spark, sf).where(F.col("sensor") == "error")
+    e = V.raw(spark, sf)
     text = e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
     return shape(files.strict(text), ["event_id", "ts"])
 

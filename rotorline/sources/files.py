@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,9 @@ from rotorline.config import SystemConfig
 from rotorline.operators.quality import nan_to_null
 
 
+ROWS_AT_ONCE = 10_000
+
+
 class SchemaError(ValueError):
     """The input does not have the columns an operator needs."""
 
@@ -23,21 +29,23 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def discover(paths: DataFrame, cfg: SystemConfig) -> DataFrame:
-    """(date, pump_id, path) of files whose name fits the pattern, belongs to a configured pump and has a real date."""
-    name = F.substring_index("path", "/", -1)
-    pump = F.regexp_extract(name, cfg.file_pattern, 1)
-    day = F.regexp_extract(name, cfg.file_pattern, 2)
-    out = paths.where(pump != "").select(
-        F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date").alias("date"),
-        F.expr(f"try_cast({_sql_extract(cfg.file_pattern)} AS INT)").alias("pump_id"),
-        "path",
-    )
+    """(date, pump_id, path) of files whose name fits the pattern, belongs to a configured pump and has a real date.
+
+    A pattern with a slash is held against the whole path, so that folders may carry the pump and the date.
+    """
+    pump, day = _named(F.col("path"), cfg)
+    out = paths.select(_date_of(day, cfg).alias("date"), pump.try_cast("int").alias("pump_id"), "path")
     return out.where(F.col("date").isNotNull() & F.col("pump_id").isin(*cfg.pump_ids)).orderBy("date", "pump_id", "path")
 
 
-def _sql_extract(pattern: str) -> str:
-    escaped = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"regexp_extract(substring_index(path, '/', -1), '{escaped}', 1)"
+def _named(path: Column, cfg: SystemConfig) -> tuple[Column, Column]:
+    """Pump and date as a path has them, empty where the pattern does not fit."""
+    where = path if "/" in cfg.file_pattern else F.substring_index(path, "/", -1)
+    return F.regexp_extract(where, cfg.file_pattern, 1), F.regexp_extract(where, cfg.file_pattern, 2)
+
+
+def _date_of(day: Column, cfg: SystemConfig) -> Column:
+    return F.try_to_timestamp(day, F.lit(cfg.spark_date_format)).cast("date")
 
 
 def discovery_summary(found: DataFrame, cfg: SystemConfig) -> DataFrame:
@@ -57,34 +65,88 @@ def by_position(raw: DataFrame, cfg: SystemConfig, ts: str = "timestamp") -> Dat
     if len(names) < len(cfg.clean_names):
         raise SchemaError(f"expected {len(cfg.clean_names)} core columns, found {len(names)}")
     core = dict(zip(cfg.clean_names, names))
-    values = [c for c in cfg.clean_names if c != ts]
-    have = set(raw.columns)
-    picked: list[Column] = [F.try_to_timestamp(F.col(f"`{core[ts]}`").cast("string")).alias("ts")]
-    picked += [F.col(f"`{core[c]}`").try_cast("double").alias(c) for c in values]
-    picked += [
-        (F.col(f"`{c}`").try_cast("double") if c in have else F.lit(None).cast("double")).alias(c)
-        for c in cfg.supplementary_names
-    ]
-    keep = [F.col(c) for c in raw.columns if c.startswith("_")]
-    out = raw.select(*keep, *picked).where(F.col("ts").isNotNull())
-    return nan_to_null(out, [*values, *cfg.supplementary_names])
+    more = {own: source for source, own in cfg.supplementary_columns.items()}
+    picked = {c: F.col(f"`{core[c]}`") for c in cfg.clean_names}
+    picked |= {own: F.col(f"`{source}`") if source in raw.columns else F.lit(None) for own, source in more.items()}
+    return _coerced(raw, picked, [c for c in raw.columns if c.startswith("_")], ts)
+
+
+def _coerced(raw: DataFrame, columns: dict[str, Column], keep: Sequence[str], ts: str) -> DataFrame:
+    """Times parsed (rows without one dropped), everything else a number or NULL."""
+    values = [c for c in columns if c != ts]
+    picked = [F.try_to_timestamp(columns[ts].cast("string")).alias("ts"), *[columns[c].cast("string").try_cast("double").alias(c) for c in values]]
+    return nan_to_null(raw.select(*keep, *picked).where(F.col("ts").isNotNull()), values)
+
+
+def _parsed(cfg: SystemConfig, rows_wanted: bool):
+    """Files (path, content) into rows of text by their own headers, or into one row each that says what is wrong."""
+    own = [*cfg.clean_names, *dict.fromkeys(cfg.supplementary_columns.values())]
+
+    def cells(header: list[str], problem: str) -> list[int | None]:
+        if problem:
+            return []
+        left_out = cfg.excluded_source_columns if len(header) >= cfg.source_count else ()
+        core = [i for i in range(min(len(header), cfg.source_count)) if i not in left_out]
+        at = {c: header.index(source) for source, c in cfg.supplementary_columns.items() if source in header}
+        return [*core, *[at.get(c) for c in own[len(cfg.clean_names):]]]
+
+    def problem_of(header: list[str], rows: list[list[str]]) -> str:
+        after = cfg.source_count - len(cfg.excluded_source_columns)
+        if not rows:
+            return "empty"
+        if len(header) < cfg.source_count and len(header) != after:
+            return f"unexpected column count {len(header)}"
+        if after != len(cfg.clean_names):
+            return f"unexpected column count after leaving columns out {after}"
+        return "unreadable" if any(len(r) > len(header) for r in rows) else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                lines = [r for r in csv.reader(io.StringIO((content or "").removeprefix("\ufeff"))) if r]
+                header, rows = (lines[0], lines[1:]) if lines else ([], [])
+                problem = problem_of(header, rows)
+                if not rows_wanted:
+                    data = {"path": [path], "n_columns": [len(header)], "n_rows": [len(rows)], "problem": [problem or None]}
+                    yield pa.RecordBatch.from_pydict(data, pa.schema([("path", pa.string()), ("n_columns", pa.int32()), ("n_rows", pa.int64()), ("problem", pa.string())]))
+                    continue
+                places = cells(header, problem)
+                for begin in range(0, len(rows) if places else 0, ROWS_AT_ONCE):
+                    part = rows[begin:begin + ROWS_AT_ONCE]
+                    columns = [[(r[i] or None) if i is not None and i < len(r) else None for r in part] for i in places]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), *[pa.array(c, pa.string()) for c in columns]], names=["path", *own])
+
+    return run
+
+
+def _contents(spark: SparkSession, root: str, cfg: SystemConfig) -> DataFrame:
+    """path, content of the pump-day files below ``root``; other files are not read."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
+    pump, day = _named(F.col("_metadata.file_path"), cfg)
+    wanted = pump.try_cast("int").isin(*cfg.pump_ids) & _date_of(day, cfg).isNotNull()
+    return files.where(wanted).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def load_days(spark: SparkSession, root: str, cfg: SystemConfig) -> DataFrame:
     """All pump-day files below ``root`` as one frame with pump_id, date and path.
 
-    Corrupt cells become NULL (permissive mode); files outside the pattern are skipped.
+    Every file is read by its own header: with all source columns (or more) the core ones are taken by position and the
+    excluded ones left out; a file already without these is taken as it is; other widths, empty files and files with
+    rows longer than their header are left out, see ``file_report``. Supplementary columns are found by header and NULL
+    where a file does not have them. Cells that are no numbers become NULL, rows without a valid time are dropped.
+
+    A file is one unit of work and is held in memory by its task: the readings of a pump and day.
     """
-    raw = (
-        spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-        .option("mode", "PERMISSIVE").csv(root).withColumn("_path", F.col("_metadata.file_path"))
-    )
-    name = F.substring_index("_path", "/", -1)
-    pump, day = F.regexp_extract(name, cfg.file_pattern, 1), F.regexp_extract(name, cfg.file_pattern, 2)
-    out = by_position(raw.where(pump.isin(*[str(p) for p in cfg.pump_ids])), cfg)
-    return out.withColumns({
-        "pump_id": pump.cast("int"), "date": F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date"),
-    }).where(F.col("date").isNotNull()).withColumnRenamed("_path", "path")
+    own = [*cfg.clean_names, *dict.fromkeys(cfg.supplementary_columns.values())]
+    text = _contents(spark, root, cfg).mapInArrow(_parsed(cfg, True), ", ".join(f"`{c}` string" for c in ["path", *own]))
+    pump, day = _named(F.col("path"), cfg)
+    out = _coerced(text, {c: F.col(f"`{c}`") for c in own}, ["path"], cfg.timestamp_col)
+    return out.withColumns({"pump_id": pump.cast("int"), "date": _date_of(day, cfg)})
+
+
+def file_report(spark: SparkSession, root: str, cfg: SystemConfig) -> DataFrame:
+    """path, n_columns, n_rows, problem: what ``load_days`` leaves out and why (NULL: nothing). Files of no bytes are not listed."""
+    return _contents(spark, root, cfg).mapInArrow(_parsed(cfg, False), "path string, n_columns int, n_rows long, problem string")
 
 
 def union_tagged(parts: dict[str, DataFrame]) -> DataFrame:

@@ -14,10 +14,18 @@ from rotorline.sources import files, sinks, tables
 from tests.helpers import at, segment
 
 YAML = """
+system_name: plant
+data_root: ../data
+output_dir: out
+file_pattern: "^pump_(\\\\d+)_(\\\\d{4}-\\\\d{2}-\\\\d{2})\\\\.csv$"
+date_format: "%Y-%m-%d"
 pump_ids: [1, 2]
 columns:
+  expected_source_count: 4
   exclude_indices: [1]
   clean_names: [timestamp, speed, motor_current]
+  timestamp_col: timestamp
+  supplementary_columns: {"Filter dP": filter_diff_pressure}
   speed_col: speed
   current_col: motor_current
   pressure_col: outlet_pressure
@@ -28,6 +36,15 @@ detectors: [speed_stability, temperatures]
 data_selector: {max_periods_per_day: 4}
 quality:
   timestep_seconds: 300
+  speed_on_threshold: 450
+  min_consecutive_operational: 3
+  frozen_tolerance: 1.0e-6
+  frozen_period_seconds: 3600
+  variability_threshold: 0.15
+  rolling_window_samples: 6
+  rolling_min_periods: 3
+  output_dir: out
+  dashboard_output: out
   sensors:
     speed: {min_value: 0, max_value: 2400, check_constant: true, check_falldown: true}
   cleaning: {codes_to_nan: [3, 5], drop_quality_columns: false}
@@ -44,8 +61,47 @@ def test_yaml(tmp_path):
     assert system.thresholds.anomaly_sigma == 2.5 and system.columns.temps == ("de_bearing_temp",)
     assert system.selector.max_periods_per_day == 4 and system.examples == {"normal": (("2025-06-26", 1),)}
     assert quality.resample.target_seconds == 300 and quality.codes_to_null == (3, 5) and not quality.drop_quality_columns
-    path.write_text("pump_ids: [1]")
-    with pytest.raises(ConfigError, match="columns"):
+    assert system.columns.pressure == system.columns.pressure_off == "outlet_pressure"
+    assert system.supplementary_columns == {"Filter dP": "filter_diff_pressure"} and system.source_count == 4
+    assert system.data_root == str(tmp_path.parent / "data") and system.spark_date_format == "yyyy-MM-dd"
+    # What the file does not say is not what the dataclass alone would say.
+    th = system.thresholds
+    assert (th.min_period_duration, th.speed_on_threshold, th.gap_merge_threshold, th.frozen_sensor_min_samples) == (600.0, 100.0, 30.0, 10)
+    assert (th.pressure_off_absolute_threshold, th.pressure_off_rebound_threshold) == (5.0, 4.0) and system.selector.min_normal_duration_minutes == 120.0
+    assert quality.speed_on_threshold == 450.0
+
+
+@pytest.mark.parametrize("line,message", [
+    ("pump_ids: [1, 2]", "pump_ids"), ("  timestamp_col: timestamp", "timestamp_col"), ("  prox_cols: [de_vibration]", "prox_cols"),
+    ("  min_consecutive_operational: 3", "min_consecutive_operational"), ("  speed_col: speed", "speed_col")])
+def test_missing_keys_are_named(tmp_path, line, message):
+    path = tmp_path / "c.yaml"
+    assert YAML.count(line) == 1
+    path.write_text(YAML.replace(line, ""))
+    with pytest.raises(ConfigError, match=message):
+        cfgmod.load_config(str(path))
+
+
+@pytest.mark.parametrize("old,new,message", [
+    ("speed_col: speed", "speed_col: rpm", "rpm"), ("speed: {min_value: 0,", "flow: {min_value: 0,", "flow"), ("speed: {min_value: 0,", "speed: {", "min_value"),
+    ("anomaly_sigma: 2.5", "anomaly_sigma: much", "thresholds"), ("pump: 1}", "machine: 1}", "examples"), ('"^pump_', '"^pump_[', "regular"),
+    ("detectors: [speed_stability, temperatures]", "detectors: all", "list")])
+def test_wrong_values_are_refused(tmp_path, old, new, message):
+    path = tmp_path / "c.yaml"
+    path.write_text(YAML.replace(old, new))
+    with pytest.raises(ConfigError, match=message):
+        cfgmod.load_config(str(path))
+
+
+def test_defaults_of_the_file(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text(YAML.replace("codes_to_nan: [3, 5], ", "").replace('  resample: {target_interval: "5min", value_agg: mean, quality_agg: max}\n', "").replace("  pressure_col: outlet_pressure\n", ""))
+    system, quality = cfgmod.load_config(str(path))
+    assert quality.codes_to_null == () and quality.resample is None and system.columns.pressure is None and system.columns.pressure_off is None
+    path.write_text(YAML[:YAML.index("quality:")])
+    assert cfgmod.load_config(str(path))[1] is None
+    path.write_text("")
+    with pytest.raises(ConfigError, match="system_name"):
         cfgmod.load_config(str(path))
 
 
@@ -60,7 +116,7 @@ def test_config_validation():
         QualityConfig(sensors={"x": SensorRule()}, missing_code="none")
 
 
-CFG = SystemConfig(pump_ids=(1, 2), excluded_source_columns=(1,), clean_names=("timestamp", "speed", "motor_current"), supplementary_names=("extra", "absent"))
+CFG = SystemConfig(pump_ids=(1, 2), excluded_source_columns=(1,), clean_names=("timestamp", "speed", "motor_current"), supplementary_columns={"extra": "extra", "none": "absent"})
 
 
 def test_load_days(spark, tmp_path):
@@ -78,6 +134,31 @@ def test_load_days(spark, tmp_path):
     assert all(r["pump_id"] == 1 and "pump_1" in r["path"] for r in rows)
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    """Widths, order of further columns, quotes, line ends, marks at the start; what is left out is reported."""
+    root = tmp_path / "data"
+    root.mkdir()
+    files_ = {
+        "pump_1_2024-01-01.csv": 'Time,pump_id,Speed,Amps,extra\n2024-01-01 00:00:00,1,900,10,5\n\n2024-01-01 00:05:00,1\n',
+        "pump_1_2024-01-02.csv": 'Time,pump_id,Speed,Amps,other,extra\r\n"2024-01-02 00:00:00",1,901,"11","a, b",6\r\n',
+        "pump_1_2024-01-03.csv": "\ufeffZeit,Drehzahl,Strom\n2024-01-03 00:00:00,902,12\n",
+        "pump_2_2024-01-01.csv": "Time,Speed\n2024-01-01 00:00:00,903\n",
+        "pump_2_2024-01-02.csv": "Time,pump_id,Speed,Amps\n",
+        "pump_2_2024-01-03.csv": "Time,pump_id,Speed,Amps\n2024-01-01 00:00:00,2,903,1,2,3\n",
+        "pump_2_2024-01-04.csv": "",
+        "pump_3_2024-01-01.csv": "Time,pump_id,Speed,Amps\n2024-01-01 00:00:00,3,903,1\n",
+    }
+    for name, text in files_.items():
+        (root / name).write_bytes(text.encode())
+    rows = files.load_days(spark, str(root), CFG).orderBy("ts").collect()
+    assert [(str(r["date"]), r["ts"].minute, r["speed"], r["motor_current"], r["extra"], r["absent"]) for r in rows] == [
+        ("2024-01-01", 0, 900.0, 10.0, 5.0, None), ("2024-01-01", 5, None, None, None, None), ("2024-01-02", 0, 901.0, 11.0, 6.0, None), ("2024-01-03", 0, 902.0, 12.0, None, None)]
+    told = {r["path"].rsplit("/", 1)[1]: (r["n_columns"], r["n_rows"], r["problem"]) for r in files.file_report(spark, str(root), CFG).collect()}
+    assert told == {
+        "pump_1_2024-01-01.csv": (5, 2, None), "pump_1_2024-01-02.csv": (6, 1, None), "pump_1_2024-01-03.csv": (3, 1, None),
+        "pump_2_2024-01-01.csv": (2, 1, "unexpected column count 2"), "pump_2_2024-01-02.csv": (4, 0, "empty"), "pump_2_2024-01-03.csv": (4, 1, "unreadable")}  # a file of no bytes has no row
+
+
 def test_strict_and_contract(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00", "1"), ("nonsense", "1")], "timestamp string, pump_id string")
     with pytest.raises(Exception, match="invalid timestamp"):
