@@ -43,19 +43,74 @@ def unpivot(df: DataFrame, channels: Sequence[str], keys: Sequence[str], prefix:
     return df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
 
 
-def feature_statistics(scoped: DataFrame, channels: Sequence[str], keys: Sequence[str] = SCOPE) -> DataFrame:
-    """Per scope and channel: mean, population deviation, p95/p99 of |r| and of |z| (0 for a constant channel)."""
-    long = unpivot(scoped, channels, keys).where(F.col("value").isNotNull())
-    by = [*keys, "channel"]
-    moments = long.groupBy(*by).agg(
-        F.avg("value").alias("mean_residual"), F.stddev_pop("value").alias("std_residual"), F.count("value").alias("n")
-    )
-    joined = long.join(moments.select(*by, "mean_residual", "std_residual"), by)
-    z = F.when(F.col("std_residual") < 1e-12, 0.0).otherwise(
-        F.abs((F.col("value") - F.col("mean_residual")) / F.col("std_residual"))
-    )
-    kinds = F.array(F.struct(F.lit("r").alias("kind"), F.abs("value").alias("x")), F.struct(F.lit("z").alias("kind"), z.alias("x")))
-    both = joined.select(*by, F.explode(kinds).alias("_k")).select(*by, "_k.*")
+def with_blocks(df: DataFrame, blocks: DataFrame, columns: Sequence[str], seasonal: bool = False) -> DataFrame:
+    """Each row with the blocks of its scopes in ``_scopes`` (array of scope and ``block``), without copying the row.
+
+    The global block is a scalar, those of the seasons are a map of four; only pumps are joined.
+    """
+    block = F.struct(*columns).alias("block")
+    everywhere, all_year = F.col("scope_pump") == GLOBAL, F.col("scope_season") == ALL_YEAR
+    one = blocks.where(everywhere & all_year).select(block).scalar()
+    by_pump = blocks.where(~everywhere & all_year).select(F.col("scope_pump").alias("pump_id"), F.struct(*columns).alias("_pump"))
+    out = df.join(by_pump, "pump_id", "left")
+
+    def entry(season: Column, pump: Column, value: Column) -> Column:
+        return F.struct(season.alias("scope_season"), pump.cast("int").alias("scope_pump"), value.alias("block"))
+
+    parts = [entry(F.lit(ALL_YEAR), F.lit(GLOBAL), one), entry(F.lit(ALL_YEAR), F.col("pump_id"), F.col("_pump"))]
+    if seasonal:
+        seasons = blocks.where(everywhere & ~all_year).agg(F.map_from_entries(F.collect_list(F.struct("scope_season", block)))).scalar()
+        both = blocks.where(~everywhere & ~all_year).select(F.col("scope_season").alias("season"), F.col("scope_pump").alias("pump_id"), F.struct(*columns).alias("_both"))
+        out = out.join(both, ["season", "pump_id"], "left")
+        parts += [entry(F.col("season"), F.lit(GLOBAL), F.try_element_at(seasons, F.col("season"))), entry(F.col("season"), F.col("pump_id"), F.col("_both"))]
+    return out.withColumn("_scopes", F.array(*parts)).drop("_pump", "_both")
+
+
+def scope_moments(df: DataFrame, channels: Sequence[str], seasonal: bool = False) -> DataFrame:
+    """What ``covariance`` gives, for every scope, in one pass over the rows.
+
+    The rows are aggregated by pump (and season) only; scopes are merged from these small rows by the rule for pooled
+    means and products: products about the pooled mean are those about the own means plus the means' own spread.
+    """
+    keys = ["pump_id", "season"] if seasonal else ["pump_id"]
+    r = {c: F.col(f"res_{c}") for c in channels}
+    pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i:]]
+    fine = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k"), *[F.avg(r[c]).alias(f"m_{c}") for c in channels], *[(F.covar_pop(r[a], r[b]) * F.count(F.lit(1))).alias(f"c_{a}__{b}") for a, b in pairs])
+    scoped = with_scopes(fine, seasonal)
+    pooled = {c: F.sum(F.col("k") * F.col(f"m_{c}")) / F.sum("k") for c in channels}
+    merged = scoped.groupBy(*SCOPE).agg(F.sum("k").alias("n"), *[pooled[c].alias(f"_m_{c}") for c in channels])
+    around = scoped.join(merged, list(SCOPE))
+    off = {c: F.col(f"m_{c}") - F.col(f"_m_{c}") for c in channels}
+    products = around.groupBy(*SCOPE, "n", *[f"_m_{c}" for c in channels]).agg(
+        *[F.sum(F.col(f"c_{a}__{b}") + F.col("k") * off[a] * off[b]).alias(f"_c_{a}__{b}") for a, b in pairs])
+    return products.select(
+        *SCOPE, "n", *[f"_m_{c}" for c in channels], *[F.sqrt(F.greatest(F.col(f"_c_{c}__{c}"), F.lit(0.0)) / F.col("n")).alias(f"_s_{c}") for c in channels],
+        *[F.when(F.col("n") > 1, F.col(f"_c_{a}__{b}") / (F.col("n") - 1)).alias(f"cov_{a}__{b}") for a, b in pairs])
+
+
+def feature_statistics(df: DataFrame, channels: Sequence[str], seasonal: bool = False, blocks: DataFrame | None = None) -> DataFrame:
+    """Per scope and channel: mean, population deviation, p95/p99 of |r| and of |z| (0 for a constant channel).
+
+    ``blocks``: rows with ``mean_vec`` and ``std_vec`` per scope, where they are known already.
+    """
+    by = [*SCOPE, "channel"]
+    blocks = materialize(invert(scope_moments(df, channels, seasonal), channels).select(*SCOPE, "n", "mean_vec", "std_vec")) if blocks is None else blocks
+    cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col("mean_vec")[c].alias("mean_residual"), F.col("std_vec")[c].alias("std_residual")) for c in channels])
+    moments = blocks.select(*SCOPE, "n", F.explode(cells).alias("_c")).select(*SCOPE, "_c.*", "n")
+
+    def measured(scope: Column) -> list[Column]:
+        """Both numbers of each channel of a row, under one scope."""
+        out = []
+        for c in channels:
+            r, mean, std = F.col(f"res_{c}"), scope["block"]["mean_vec"][c], scope["block"]["std_vec"][c]
+            z = F.when(std < 1e-12, 0.0).otherwise(F.abs((r - mean) / std))
+            out += [F.struct(scope["scope_season"].alias("scope_season"), scope["scope_pump"].alias("scope_pump"), F.lit(c).alias("channel"), F.lit(k).alias("kind"), x.alias("x"))
+                    for k, x in (("r", F.abs(r)), ("z", z))]
+        return out
+
+    held = with_blocks(df, blocks, ["mean_vec", "std_vec"], seasonal)
+    both = held.select(F.explode(F.flatten(F.transform("_scopes", lambda scope: F.array(*measured(scope))))).alias("_k")).select("_k.*")
     q = exact_quantiles(both, [*by, "kind"], "x", {"p95": P_WARNING, "p99": P_ALARM})
     wide = q.groupBy(*by).agg(
         F.max(F.when(F.col("kind") == "r", F.col("p95"))).alias("p95_abs"),
@@ -144,16 +199,16 @@ def calibrate(res: DataFrame, channels: Sequence[str], seasonal: bool = False,
     """
     from rotorline.operators.scoring import distance
 
-    scoped = with_scopes(res, seasonal)
-    # One row per scope, read by the distances and by the result; one number per sample, read by the moments
+    # One row per scope, read by the distances and by the result; one number per sample and scope, read by the moments
     # and the quantiles: both are written once.
-    blocks = materialize(invert(covariance(scoped, channels), channels))
-    joined = scoped.join(blocks.select(*SCOPE, "mean_vec", "cov_inv"), list(SCOPE))
-    scored = joined.select(*SCOPE, distance(channels, F.col("mean_vec"), F.col("cov_inv")).alias("distance"))
-    th = distance_thresholds(materialize(scored))
+    blocks = materialize(invert(scope_moments(res, channels, seasonal), channels))
+    held = with_blocks(res, blocks, ["mean_vec", "cov_inv"], seasonal)
+    far = F.transform("_scopes", lambda s: F.struct(
+        s["scope_season"].alias("scope_season"), s["scope_pump"].alias("scope_pump"), distance(channels, s["block"]["mean_vec"], s["block"]["cov_inv"]).alias("distance")))
+    th = distance_thresholds(materialize(held.select(F.explode(far).alias("_d")).select("_d.*")))
     full = blocks.select(*SCOPE, "mean_vec", "std_vec", "cov_inv").join(th, list(SCOPE))
     if features:
-        stats = feature_statistics(scoped, channels)
+        stats = feature_statistics(res, channels, seasonal, blocks)
         parts = F.struct("mean_residual", "std_residual", "p95_abs", "p99_abs", "z_warning", "z_alarm")
         named = stats.groupBy(*SCOPE).agg(*[F.max(F.when(F.col("channel") == c, parts)).alias(c) for c in channels])
         full = full.join(named.select(*SCOPE, F.struct(*channels).alias("per_feature")), list(SCOPE))

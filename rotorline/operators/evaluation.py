@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rotorline.functions.formulas import binomial_at_least_three, health, season_of, severity
 from rotorline.functions.ordered import auc_of, best_f1, exact_quantiles, roc_table, running_totals, youden
-from rotorline.functions.series import SEG
+from rotorline.functions.series import SEG, so_far
 from rotorline.operators.calibration import unpivot
 
 # --- Fixed values -----------------------------------------------------------
@@ -222,17 +222,24 @@ def step_histogram(steps: DataFrame, thresholds: DataFrame, multipliers: Sequenc
 
 
 def day_alerts(hist: DataFrame, multipliers: Sequence[float], min_steps: int) -> DataFrame:
-    """Flagged days for each (l1, l2) warning multiplier pair."""
+    """Flagged days for each (l1, l2) warning multiplier pair, from a summed-area table per day.
+
+    A day has one row per cell of the grid, (n+1)^2 of them. Running sums along one axis and then the other give the
+    steps that stay below both multipliers of a cell; the rest of the day's steps are alerts.
+    """
     ms = sorted(float(m) for m in multipliers)
-    points = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("l1_mult"), F.lit(b).alias("l2_mult"))
-        for i, a in enumerate(ms) for j, b in enumerate(ms)
-    ])
-    cells = hist.withColumn("_p", F.explode(points)).select("*", "_p.*").drop("_p")
-    alert = F.when((F.col("b1") > F.col("i")) | (F.col("b2") > F.col("j")), F.col("n")).otherwise(0)
-    return cells.groupBy(*SEG, "label", "l1_mult", "l2_mult").agg(
-        (F.sum(alert) >= min_steps).cast("int").alias("flagged")
-    )
+    width = len(ms) + 1
+    cell = (F.col("b1") * width + F.col("b2")).cast("int")
+    days = hist.groupBy(*SEG, "label").agg(F.map_from_entries(F.collect_list(F.struct(cell, "n"))).alias("_n"), F.sum("n").alias("_all"))
+    dense = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("_c")).withColumns({
+        "i": F.floor(F.col("_c") / width).cast("int"), "j": F.col("_c") % width, "n": F.coalesce(F.try_element_at("_n", "_c"), F.lit(0))})
+    day = [*SEG, "label"]
+    dense = dense.withColumn("n", F.sum("n").over(so_far(Window.partitionBy(*day, "i").orderBy("j"))))
+    dense = dense.withColumn("n", F.sum("n").over(so_far(Window.partitionBy(*day, "j").orderBy("i"))))
+    mult = F.array(*[F.lit(m) for m in ms])
+    return dense.where((F.col("i") < len(ms)) & (F.col("j") < len(ms))).select(
+        *day, F.element_at(mult, F.col("i") + 1).alias("l1_mult"), F.element_at(mult, F.col("j") + 1).alias("l2_mult"),
+        (F.col("_all") - F.col("n") >= min_steps).cast("int").alias("flagged"))
 
 
 def rates(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -591,7 +591,7 @@ STAT = ["mean_residual", "std_residual", "p95_abs", "p99_abs", "z_warning", "z_a
 
 @query("cal_01_feature_statistics", S.with_(("fstats",), f"SELECT scope_season, {S.i('scope_pump')}, channel, {S.i('n')}, {S.rs(STAT)} FROM fstats"))
 def feature_statistics(spark: Spark, sf: str) -> DataFrame:
-    return shape(K.feature_statistics(K.with_scopes(_normal(spark, sf)), V.OUTPUTS), ["scope_season", "scope_pump", "channel", "n", *STAT])
+    return shape(K.feature_statistics(_normal(spark, sf), V.OUTPUTS), ["scope_season", "scope_pump", "channel", "n", *STAT])
 
 
 PAIRS = [f"cov_{a}__{b}" for n, a in enumerate(S.OUT) for b in S.OUT[n:]]
@@ -599,16 +599,16 @@ PAIRS = [f"cov_{a}__{b}" for n, a in enumerate(S.OUT) for b in S.OUT[n:]]
 
 @query("cal_02_covariance", S.with_(("inv",), f"SELECT {S.i('scope_pump')}, {S.i('n')}, {S.rs(PAIRS)}, {S.r('i_flow__flow', 'inv_00', 9)}, {S.r('i_flow__outlet_pressure', 'inv_01', 9)} FROM inv"))
 def covariance(spark: Spark, sf: str) -> DataFrame:
-    out = K.invert(K.covariance(K.with_scopes(_normal(spark, sf)), V.OUTPUTS), V.OUTPUTS)
+    out = K.invert(K.scope_moments(_normal(spark, sf), V.OUTPUTS), V.OUTPUTS)
     inv = out.withColumns({"inv_00": F.round("cov_inv.flow.flow", 9), "inv_01": F.round("cov_inv.flow.outlet_pressure", 9)})
     return shape(inv, ["scope_pump", "n", *PAIRS]).join(inv.select(F.col("scope_pump").cast("bigint").alias("scope_pump"), "inv_00", "inv_01"), "scope_pump")
 
 
 def _own_distances(spark: Spark, sf: str) -> DataFrame:
-    scoped = K.with_scopes(_normal(spark, sf))
-    blocks = K.invert(K.covariance(scoped, V.OUTPUTS), V.OUTPUTS).select(*K.SCOPE, "mean_vec", "cov_inv")
-    joined = scoped.join(blocks, list(K.SCOPE))
-    return joined.withColumn("distance", C.distance(V.OUTPUTS, F.col("mean_vec"), F.col("cov_inv")))
+    rows = _normal(spark, sf)
+    blocks = materialize(K.invert(K.scope_moments(rows, V.OUTPUTS), V.OUTPUTS).select(*K.SCOPE, "mean_vec", "cov_inv"))
+    each = K.with_blocks(rows, blocks, ["mean_vec", "cov_inv"]).select("*", F.explode("_scopes").alias("_s")).select(*rows.columns, *[f"_s.{c}" for c in K.SCOPE], "_s.block.*")
+    return each.withColumn("distance", C.distance(V.OUTPUTS, F.col("mean_vec"), F.col("cov_inv")))
 
 
 @query("cal_03_distance_thresholds", S.with_(("own_thr",), f"SELECT {S.i('scope_pump')}, {S.i('n')}, {S.rs(['mean', 'std', 'warning', 'alarm'])} FROM own_thr"))
@@ -636,7 +636,7 @@ def contributions(spark: Spark, sf: str) -> DataFrame:
     f"SELECT scope_pump, '{a}' AS channel, '{b}' AS other, abs({'cov_' + a + '__' + b if S.OUT.index(a) < S.OUT.index(b) else 'cov_' + b + '__' + a}) / (sqrt(cov_{a}__{a}) * sqrt(cov_{b}__{b})) AS x, {-S.OUT.index(b)} AS o FROM cov"
     for a in S.OUT for b in S.OUT if a != b) + ") GROUP BY 1, 2"))
 def most_correlated(spark: Spark, sf: str) -> DataFrame:
-    cov = K.covariance(K.with_scopes(_normal(spark, sf)), V.OUTPUTS)
+    cov = K.scope_moments(_normal(spark, sf), V.OUTPUTS)
     return shape(K.most_correlated(cov, V.OUTPUTS, ["scope_pump"]), ["scope_pump", "channel", "top_correlated"])
 
 
