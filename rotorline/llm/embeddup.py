@@ -40,7 +40,7 @@ from rotorline.llm.base import cut, table
 from rotorline.llm.components import components
 
 COSINE = 0.98
-LIMIT, TARGET, SAMPLE, COPIES = 4096, 1500, 128, 2
+LIMIT, TARGET, SAMPLE, COPIES = 750, 500, 128, 2  # shards of one size for labels of any size: the work a node is the same
 APART, SPLITS = 0.9, 3  # pivots have a lower cosine than this
 AUDIT, LINKING, RECALL = 200, 100, 0.97
 BLOCK = 2048
