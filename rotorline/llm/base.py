@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``cut``, and then a collection on the driver, upon which Spark's cleaner removes the shuffle files and checkpoints
+    of steps that nothing refers to any more. For long chains of steps, whose files would otherwise stay to the end."""
+    out = cut(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
