@@ -76,7 +76,7 @@ def _vectors(df: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 
 def principal_components(df: DataFrame, channels: Sequence[str], k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Scores of every row and the loadings with explained share."""
+    """Scores of every row and the loadings with explained share. The largest loading of a component is positive."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import vector_to_array
 
@@ -85,9 +85,11 @@ def principal_components(df: DataFrame, channels: Sequence[str], k: int = 3) ->
     scaled = scaler.transform(data)
     model = PCA(k=k, inputCol="_z", outputCol="_p").fit(scaled)
     scores = model.transform(scaled).withColumn("_a", vector_to_array("_p"))
-    scores = scores.select(*df.columns, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)])
+    pc = model.pc.toArray()
+    turn = [1.0 if pc[:, j].max() >= -pc[:, j].min() else -1.0 for j in range(k)]
+    scores = scores.select(*df.columns, *[(F.col("_a")[i] * turn[i]).alias(f"pc{i + 1}") for i in range(k)])
     rows = [
-        (f"pc{j + 1}", c, float(model.pc[i, j]), float(model.explainedVariance[j]))
+        (f"pc{j + 1}", c, float(pc[i, j]) * turn[j], float(model.explainedVariance[j]))
         for j in range(k) for i, c in enumerate(channels)
     ]
     loadings = df.sparkSession.createDataFrame(rows, "component string, channel string, loading double, explained double")

@@ -163,6 +163,12 @@ def full_history(df: DataFrame, columns: Sequence[str], length: int, keys: Seque
     return placed.where(keep).withColumn(out, F.flatten("_rows")).drop("_i", "_rows")
 
 
+def hash_order(columns: Sequence[str], seed: int) -> Column:
+    """60 bits of the MD5 sum of the columns' texts and the seed: an order that any SQL engine can repeat."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def split_days(days: DataFrame, shares: dict[str, float], strata: Sequence[str], seed: int = 42,
                segment: Sequence[str] = SEG) -> DataFrame:
     """Whole days to named parts by hash order inside each stratum.
@@ -173,7 +179,7 @@ def split_days(days: DataFrame, shares: dict[str, float], strata: Sequence[str],
     from rotorline.functions.ordered import running_totals
 
     keyed = days.select(*segment, *[s for s in strata if s not in segment]).distinct().withColumn(
-        "_h", F.xxhash64(*segment, F.lit(seed))
+        "_h", hash_order(segment, seed)
     )
     ranked = running_totals(keyed, strata, "_h", {"n": F.lit(1)})
     place = (F.col("cum_n") - F.col("n")) / F.col("all_n")
@@ -190,7 +196,7 @@ def sample_rows(df: DataFrame, n: int, order_by: Sequence[str], by: Sequence[str
 
     Spark keeps ``n`` rows per task before the shuffle.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*order_by, F.lit(seed)))
+    hashed = df.withColumn("_h", hash_order(order_by, seed))
     if not by:
         return hashed.orderBy("_h", *order_by).limit(n).drop("_h")
     w = Window.partitionBy(*by).orderBy("_h", *order_by)

@@ -78,7 +78,7 @@ def isolation_forest(train: DataFrame, df: DataFrame, vector: str, key: Sequence
     """
     # Every tree draws from all rows: those whose hash with the tree is below a share that leaves twice as many as needed.
     share = min(1.0, 2.0 * TREE_ROWS / max(train.count(), 1))
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.pmod(F.xxhash64(t, *key, F.lit(seed)), F.lit(1 << 31)) < int(share * (1 << 31)))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.pmod(F.xxhash64(t, *key, F.lit(seed)), F.lit(1 << 62)) < int(share * (1 << 62)))
     spread = train.select(*key, vector).withColumn("tree", F.explode(drawn)).withColumn("_h", F.xxhash64("tree", *key, F.lit(seed)))
     w = Window.partitionBy("tree").orderBy("_h", *key)
     picked = spread.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= TREE_ROWS).select("tree", "_k", vector)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rotorline.config import QUALITY_STEPS, QualityConfig, SensorRule
 from rotorline.functions.series import SEG, TS, last_rows, ordered, runs, seconds, whole
+from rotorline.session import materialize
 
 # --- Fixed values -----------------------------------------------------------
 OK, MISSING, NULL, OUT_OF_RANGE, FALL_DOWN, FROZEN = 0, 1, 2, 3, 4, 5
@@ -276,10 +277,14 @@ def code_counts(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def segment_statistics(df: DataFrame, cfg: QualityConfig, steps: Sequence[str] = QUALITY_STEPS) -> DataFrame:
-    """One row per segment: rows in and out, sentinel rows, bad cells, skip reason."""
-    labelled = label(df, cfg)
+    """One row per segment: rows in and out, sentinel rows, bad cells, skip reason.
+
+    The input is read once: what is counted and the remaining steps start from the labelled rows, which are stored.
+    """
+    labelled = materialize(label(df, cfg))
     sensors = [c for c in cfg.sensors if c in df.columns]
-    frozen = all_frozen(df, sensors, cfg.frozen_tolerance)
+    given = labelled.where(~F.col("inserted")).select(*df.columns)
+    frozen = all_frozen(given, sensors, cfg.frozen_tolerance)
     bad = sum((F.sum((F.col(f"{c}_quality") > 0).cast("int")) for c in sensors[1:]),
               F.sum((F.col(f"{sensors[0]}_quality") > 0).cast("int")))
     sentinel = is_sentinel(labelled, list(cfg.sensors), cfg.sentinel_value, cfg.sentinel_column_threshold)
@@ -289,7 +294,8 @@ def segment_statistics(df: DataFrame, cfg: QualityConfig, steps: Sequence[str] =
         F.sum(sentinel.cast("int")).alias("sentinel_rows"),
         bad.alias("bad_cells"),
     )
-    left = run_steps(df, cfg, steps).groupBy(*SEG).agg(F.count(F.lit(1)).alias("_out"))
+    rest = run_steps(labelled, cfg, [s for s in steps if s != "label"]) if "label" in steps else run_steps(given, cfg, steps)
+    left = rest.groupBy(*SEG).agg(F.count(F.lit(1)).alias("_out"))
     joined = seen.join(frozen, list(SEG)).join(left, list(SEG), "left")
     rows_out = F.when(F.col("is_frozen"), 0).otherwise(F.coalesce("_out", F.lit(0)))
     reason = F.when(F.col("is_frozen"), "all_frozen").when(rows_out == 0, "no_rows_after_steps")
@@ -318,11 +324,13 @@ def resample_dense(df: DataFrame, columns: Sequence[str], bucket_seconds: int, d
                    keys: Sequence[str] = SEG, ts: str = TS) -> DataFrame:
     """Resample only segments of at least three rows whose median gap is below ``dense_below`` seconds.
 
-    Rows with every column NULL are dropped from resampled segments.
+    Rows with every column NULL are dropped from resampled segments. Gaps, their median and the count are windows of the
+    segment and the buckets lie inside it: one scan, one exchange.
     """
-    meta = median_gap(df, keys, ts).join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), list(keys))
-    dense = (F.col("_rows") >= 3) & (F.col("interval_s") < dense_below)
-    tagged = df.join(meta.select(*keys, dense.alias("_dense")), list(keys))
+    gaps = df.withColumn("_gap", seconds(ts) - seconds(F.lag(ts).over(ordered(keys, ts))))
+    usual, rows = F.median("_gap").over(whole(keys)), F.count(F.lit(1)).over(whole(keys))
+    interval = F.when(usual > 0, usual).otherwise(5.0)
+    tagged = gaps.withColumn("_dense", (rows >= 3) & (interval < dense_below))
     some = F.coalesce(*[F.col(c) for c in columns]).isNotNull()
     at = F.when(F.col("_dense"), bucket_start(ts, bucket_seconds)).otherwise(F.col(ts))
     out = tagged.withColumn("_at", at).groupBy(*keys, "_at", "_dense").agg(

@@ -488,7 +488,31 @@ def correlation(spark: Spark, sf: str) -> DataFrame:
     return shape(D.correlation_difference(r, V.CHANNELS, "label", "normal", "abnormal"))
 
 
-@query("eda_04_principal_components")
+def _component_ctes(matrix: str, size: int, count: int) -> None:
+    """Leading eigenvectors in SQL: squaring a matrix again and again leaves the projection on the first one; it is taken
+    out and the next one follows. Matrices are flat lists in ``m``."""
+    at = lambda i, j: f"m[({i}) * {size} + ({j}) + 1]"
+    square = f"[list_sum([{at(f't // {size}', 'k')} * {at('k', f't % {size}')} FOR k IN range({size})]) FOR t IN range({size * size})]"
+    trace = "list_sum([" + at("k", "k") + f" FOR k IN range({size})])"
+    source = matrix
+    for c in range(1, count + 1):
+        S.cte(f"pc{c}_power", (source,), f"""SELECT 0 AS it, m FROM {source} UNION ALL
+  SELECT it + 1, [x / {trace} FOR x IN m] FROM (SELECT it, {square} AS m FROM pc{c}_power WHERE it < 60)""")
+        S.cte(f"pc{c}_vector", (f"pc{c}_power",), f"""SELECT [x * sign(list_first(list_sort(v, 'DESC')) + list_first(list_sort(v))) FOR x IN v] AS v FROM (
+  SELECT [{at('k', 'j')} / sqrt({at('j', 'j')}) FOR k IN range({size})] AS v FROM (SELECT m, list_position([{at('k', 'k')} FOR k IN range({size})], list_max([{at('k', 'k')} FOR k IN range({size})])) - 1 AS j
+    FROM pc{c}_power WHERE it = 60))""")
+        S.cte(f"pc{c}", (f"pc{c}_vector", source), f"""SELECT v, m, list_sum([{at(f't // {size}', f't % {size}')} * v[t // {size} + 1] * v[t % {size} + 1] FOR t IN range({size * size})]) AS value FROM pc{c}_vector, {source}""")
+        S.cte(f"pc{c}_rest", (f"pc{c}",), f"SELECT [m[t + 1] - value * v[t // {size} + 1] * v[t % {size} + 1] FOR t IN range({size * size})] AS m FROM pc{c}")
+        source = f"pc{c}_rest"
+
+
+S.cte("pc_matrix", ("readings",), "SELECT [" + ", ".join(f"corr({a}, {b})" for a in S.CH for b in S.CH) + "] AS m FROM readings WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in S.CH))
+_component_ctes("pc_matrix", len(S.CH), 3)
+
+
+@query("eda_04_principal_components", S.with_(("pc1", "pc2", "pc3", "readings"), " UNION ALL ".join(
+    f"SELECT 'pc{c}' AS component, {S.CH!r}[k] AS channel, {S.r('v[k]', 'loading')}, {S.r(f'value / {len(S.CH)}', 'explained')}, {S.r('sqrt(value * (n - 1) / n)', 'spread')} FROM pc{c}, (SELECT unnest(range(1, {len(S.CH) + 1})) AS k), "
+    f"(SELECT count(*) AS n FROM readings WHERE {' AND '.join(f'{x} IS NOT NULL' for x in S.CH)})" for c in (1, 2, 3)), recursive=True))
 def principal_components(spark: Spark, sf: str) -> DataFrame:
     scores, loadings = D.principal_components(V.grid(spark, sf).select("pump_id", "ts", *V.CHANNELS), V.CHANNELS)
     spread = scores.agg(*[F.stddev_pop(f"pc{i}").alias(f"pc{i}") for i in (1, 2, 3)])
@@ -513,7 +537,8 @@ def month_counts(spark: Spark, sf: str) -> DataFrame:
     return shape(D.month_counts(V.table(spark, sf, "lineitem"), "l_shipdate", "l_linenumber"))
 
 
-@query("eda_07_group_sample")
+@query("eda_07_group_sample", S.with_(("readings",), f"""SELECT {S.STEPS}, {S.rs(S.CH)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY pump_id ORDER BY {S.hash_order(['pump_id', 'ts'])}, pump_id, ts) AS k FROM readings) WHERE k <= 50"""))
 def group_sample(spark: Spark, sf: str) -> DataFrame:
     from rotorline.operators.features import sample_rows
 

@@ -137,11 +137,13 @@ def stratified_split(spark: Spark, sf: str) -> DataFrame:
     return shape(out.groupBy("pump_id", "label", "part").agg(F.count(F.lit(1)).alias("n_days")))
 
 
-@query("fea_10_shuffle_split")
+@query("fea_10_shuffle_split", S.with_(("tagged",), f"""SELECT {S.SEGS}, label, part FROM (
+  SELECT *, CASE WHEN (row_number() OVER (PARTITION BY label ORDER BY h) - 1) / count(*) OVER (PARTITION BY label) < 0.8 - 1e-12 THEN 'optimise' ELSE 'validation' END AS part
+  FROM (SELECT DISTINCT pump_id, date, label, {S.hash_order(['pump_id', 'date'])} AS h FROM tagged WHERE label = 'abnormal')) ORDER BY h, pump_id, date LIMIT 60"""))
 def shuffle_split(spark: Spark, sf: str) -> DataFrame:
     days = V.days(V.tagged(V.readings(spark, sf))).where(F.col("label") == "abnormal")
     parts = FE.split_days(days, {"optimise": 0.8, "validation": 0.2}, ["label"])
-    return shape(FE.sample_rows(parts, 60, ["pump_id", "date"]))
+    return shape(FE.sample_rows(parts, 60, ["pump_id", "date"]), ["pump_id", "date", "label", "part"])
 
 
 @query("fea_11_balance_weights", S.with_(("readings",), f"SELECT {S.i('pump_id')}, {S.i('n')}, {S.r('n * (1.0 / n)', 'total_weight')} FROM (SELECT pump_id, count(*) AS n FROM readings GROUP BY 1)"))

@@ -59,6 +59,11 @@ def t(expr: str = "ts", alias: str = "ts") -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S') AS {alias}"
 
 
+def hash_order(columns: Sequence[str], seed: int = 42) -> str:
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts}, '{seed}')), 1, 15) AS BIGINT)"
+
+
 SEGS = f"{i('pump_id')}, {d()}"
 STEPS = f"{SEGS}, {t()}"
 

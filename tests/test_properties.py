@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rotorline.config import Columns, SystemConfig, Thresholds
 from rotorline.functions.asof import asof_join
 from rotorline.functions.ordered import auc_of, best_f1, exact_quantiles, roc_table, running_totals, youden
 from rotorline.functions.series import ema, runs
+from rotorline.operators import calibration
 from rotorline.operators import evaluation as E
 from rotorline.operators import features as FE
 from rotorline.operators import outliers as O
@@ -271,3 +275,71 @@ def test_gaps_longer_than_a_day_of_seconds(spark):
     out = fill_gaps(df, 0.5)
     assert out.count() == 93_601 and out.where("not inserted").count() == 2
     assert out.select("ts").distinct().count() == 93_601
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_of_periods_by_the_rule(spark, seed):
+    """Which rows belong to which period, near-period rows included, against every pair of row and period."""
+    from rotorline.operators import periods
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for pump in (1, 2, 3):
+        t, on = 0, False
+        for _ in range(160):
+            t += int(rng.choice([60, 60, 60, 120, 900]))
+            on = on != (rng.random() < 0.15)
+            rows.append((pump, t, float(rng.choice([900.0, 1000.0])) if on else float(rng.choice([0.0, 0.0, 100.0])), float(rng.normal(5, 1))))
+    th = Thresholds(min_period_duration=240.0, gap_merge_threshold=150.0, off_window_seconds=1500.0, near_period_seconds=180.0)
+    cfg = SystemConfig(columns=Columns(pressure_off="outlet_pressure"), thresholds=th)
+    df = spark.createDataFrame([(p, at(t), v, v / 10, x) for p, t, v, x in rows], "pump_id int, ts timestamp, speed double, motor_current double, outlet_pressure double").withColumn("date", F.lit(date(2024, 1, 2)))
+    found = {}
+    for r in periods.detect_periods(df, cfg).collect():
+        found.setdefault(r["pump_id"], []).append((r["period_id"], r["start"], r["end"]))
+    assert sum(map(len, found.values())) > 5
+    want, off = set(), {}
+    for pump, own in found.items():
+        mine = [(at(t), v, x) for p, t, v, x in rows if p == pump]
+        for pid, start, end in own:
+            earlier = [t for t, v, _ in mine if v > 500 and t < start]
+            for t, _, _ in mine:
+                after_on = not earlier or t >= earlier[-1] + timedelta(seconds=180)
+                if t <= end + timedelta(seconds=1500) and (t >= start - timedelta(seconds=1500) or after_on):
+                    want.add((pump, t, pid))
+        near = timedelta(seconds=180)
+        off[pump] = [x for t, v, x in mine if v == 0 and not any(a - near <= t <= b + near for _, a, b in own)]
+    joined = periods.period_rows(df, cfg).collect()
+    assert {(r["pump_id"], r["ts"], r["period_id"]) for r in joined} == want and len(joined) == len(want)
+    for r in joined:
+        assert r["segment_off_rows"] == len(off[r["pump_id"]])
+        assert r["segment_pressure_off"] == (pytest.approx(np.mean(off[r["pump_id"]])) if off[r["pump_id"]] else None)
+
+
+def test_scope_moments_equal_those_of_copied_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(p), str(s), float(x), float(x * 0.5 + y + 1000)) for p, s, x, y in zip(rng.integers(1, 4, 300), rng.choice(["winter", "summer"], 300), rng.normal(50, 3, 300), rng.normal(size=300), strict=True)]
+    rows.append((9, "spring", 1.0, 2.0))
+    df = spark.createDataFrame(rows, "pump_id int, season string, res_a double, res_b double")
+    for seasonal in (False, True):
+        plain = {r[:2]: r for r in calibration.covariance(calibration.with_scopes(df, seasonal), ["a", "b"]).collect()}
+        pooled = {r[:2]: r for r in calibration.scope_moments(df, ["a", "b"], seasonal).collect()}
+        assert plain.keys() == pooled.keys() and len(plain) == (15 if seasonal else 5)
+        for k, p in plain.items():
+            for name in p.asDict():
+                assert pooled[k][name] == (pytest.approx(p[name], rel=1e-9, abs=1e-9) if isinstance(p[name], float) else p[name]), (k, name)
+
+
+def test_multiplier_grid_equals_counting(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1 + i % 2, date(2024, 1, 1 + i % 5), "normal" if i % 5 else "abnormal", float(rng.uniform(0, 3)), None if i % 17 == 0 else float(rng.uniform(0, 3))) for i in range(200)]
+    steps = spark.createDataFrame(rows, "pump_id int, date date, label string, l1 double, l2 double")
+    th = spark.createDataFrame([(1, 1.0, 1.5), (2, 1.2, 1.1)], "pump_id int, l1_warning double, l2_warning double")
+    ms, base = [0.5, 1.0, 2.0], {1: (1.0, 1.5), 2: (1.2, 1.1)}
+    got = {(r["pump_id"], r["date"], r["l1_mult"], r["l2_mult"]): r["flagged"] for r in E.day_alerts(E.step_histogram(steps, th, ms), ms, 6).collect()}
+    want = {}
+    for a in ms:
+        for b in ms:
+            for p, d, _, x, y in rows:
+                hit = x >= base[p][0] * a or y is not None and y >= base[p][1] * b
+                want[p, d, a, b] = want.get((p, d, a, b), 0) + hit
+    assert got == {k: int(n >= 6) for k, n in want.items()}
