@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotorline.config import load_config
 from rotorline.operators import annotation, detectors, monitoring, periods, quality
 from rotorline.plans import sql as S
 from rotorline.plans import views as V
@@ -369,6 +371,25 @@ def annotation_run(spark: Spark, sf: str) -> DataFrame:
     return shape(annotations(spark, sf), ["date", "pump_id", "period_start", "period_end", "duration_minutes", "classification"])
 
 
+SYSTEM_FILE = os.path.join(os.path.dirname(__file__), "machine.yaml")
+
+
+@query("ext_04_system_file", S.with_(("annotations",), f"SELECT {_ANN} FROM annotations"))
+def annotation_by_file(spark: Spark, sf: str) -> DataFrame:
+    """The annotation run with everything read from a system file."""
+    system, _ = load_config(SYSTEM_FILE)
+    found = annotation.annotate(V.machine(spark, sf), system, extra=V.EXTRA)
+    return shape(found, ["date", "pump_id", "period_start", "period_end", "duration_minutes", "classification"])
+
+
+@query("ext_04_quality_file", S.with_(("seg_stats",), f"SELECT {S.SEGS}, {S.ins(['input_rows', 'inserted_rows', 'bad_cells', 'output_rows'])}, skip_reason FROM seg_stats"))
+def quality_by_file(spark: Spark, sf: str) -> DataFrame:
+    """The step chain with the quality section of a system file."""
+    _, rules = load_config(SYSTEM_FILE)
+    stats = quality.segment_statistics(V.sparse(spark, sf), rules)
+    return shape(stats, ["pump_id", "date", "input_rows", "inserted_rows", "bad_cells", "output_rows", "skip_reason"])
+
+
 @query("snk_01_annotations", S.with_(("annotations",), f"SELECT {_ANN}, array_to_string(reasons, ';') AS reasons FROM annotations"))
 def annotation_sink(spark: Spark, sf: str) -> DataFrame:
     return shape(sinks.annotation_table(annotations(spark, sf)))

@@ -105,6 +105,15 @@ def test_defaults_of_the_file(tmp_path):
         cfgmod.load_config(str(path))
 
 
+def test_the_views_system_file_says_what_the_views_say():
+    from rotorline.plans import views
+    from rotorline.plans.catalog_quality import SYSTEM_FILE
+
+    system, quality = cfgmod.load_config(SYSTEM_FILE)
+    assert (system.columns, system.thresholds, system.detectors, system.selector) == (views.SYSTEM.columns, views.SYSTEM.thresholds, views.SYSTEM.detectors, views.SYSTEM.selector)
+    assert quality == views.QUALITY
+
+
 def test_config_validation():
     with pytest.raises(ConfigError):
         ResampleRule(300, "exec")
