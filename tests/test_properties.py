@@ -343,3 +343,32 @@ def test_multiplier_grid_equals_counting(spark):
                 hit = x >= base[p][0] * a or y is not None and y >= base[p][1] * b
                 want[p, d, a, b] = want.get((p, d, a, b), 0) + hit
     assert got == {k: int(n >= 6) for k, n in want.items()}
+
+
+def test_pca_error_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6)) @ np.diag([5, 4, 1, 0.3, 0.2, 0.1]) @ rng.normal(size=(6, 6)) + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    train = x[:200]
+    mean, std = train.mean(0), train.std(0, ddof=1)
+    z = (train - mean) / std
+    value, vector = np.linalg.eigh(np.cov(z.T))
+    value, vector = value[::-1], vector[:, ::-1]
+    basis = vector[:, :int(np.searchsorted(np.cumsum(value) / value.sum(), 0.95)) + 1]
+    every = (x - mean) / std
+    want = np.abs(every - every @ basis @ basis.T).mean(1)
+    got = {r["id"]: r["pca_error"] for r in O.pca_reconstruction(df.where("id < 200"), df, "v").collect()}
+    assert all(got[i] == pytest.approx(w, abs=1e-8) for i, w in enumerate(want))
+
+
+def test_linear_conditions_equal_least_squares(spark):
+    from rotorline.operators.scoring import LinearConditions
+
+    rng = np.random.default_rng(9)
+    rows = [(p, date(2024, 1, 2), at(300 * i), float(a), float(b)) for p in (1, 2) for i, (a, b) in enumerate(rng.normal(50, 9, (60, 2)))]
+    df = spark.createDataFrame(rows, "pump_id int, date date, ts timestamp, speed double, current double").withColumn("flow", F.col("speed") * 0.3 - F.col("current") * 0.1 + F.sin(F.col("speed")))
+    hist = FE.padded_history(df, ["speed", "current"], 3, out="_h").select("pump_id", "ts", "_h", "flow").collect()
+    x = np.array([[1.0, *r["_h"]] for r in hist])
+    want = dict(zip([(r["pump_id"], r["ts"]) for r in hist], x @ np.linalg.lstsq(x, np.array([r["flow"] for r in hist]), rcond=None)[0], strict=True))
+    got = LinearConditions(["speed", "current"], ["flow"]).fit(df).transform(df).collect()
+    assert len(got) == 120 and all(r["pred_flow"] == pytest.approx(want[r["pump_id"], r["ts"]], rel=1e-4) for r in got)
