@@ -48,9 +48,13 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[st
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles (position ``p*(n-1)``) per group: one row per group."""
-    ranked = running_totals(df, keys, value, {"n": F.lit(1)})
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None = None) -> DataFrame:
+    """Linear-interpolation quantiles (position ``p*(n-1)``) per group: one row per group. ``count`` names the number of values."""
+    return quantiles_of(running_totals(df, keys, value, {"n": F.lit(1)}), keys, value, probs, count)
+
+
+def quantiles_of(ranked: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None = None) -> DataFrame:
+    """The same from points that ``running_totals`` has ranked by their number ``n``."""
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
 
     def at(position: Column) -> Column:
@@ -62,9 +66,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         parts.append(at(F.floor(spot)).alias(f"_lo_{name}"))
         parts.append(at(F.ceil(spot)).alias(f"_hi_{name}"))
         parts.append(F.max(spot - F.floor(spot)).alias(f"_w_{name}"))
-    picked = ranked.groupBy(*keys).agg(*parts)
+    picked = ranked.groupBy(*keys).agg(*parts, *([F.max("all_n").alias(count)] if count else []))
     return picked.select(
         *keys,
+        *([count] if count else []),
         *[
             (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_w_{name}")).alias(name)
             for name in probs

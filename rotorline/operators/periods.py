@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorline.config import SystemConfig
+from rotorline.functions.ordered import quantiles_of, running_totals
 from rotorline.functions.series import SEG, TS, backwards, ordered, plus_seconds, seconds, so_far, whole
 
 # --- Fixed values -----------------------------------------------------------
@@ -254,22 +255,20 @@ def _observations(features: DataFrame, cfg: SystemConfig) -> DataFrame:
 
 
 def robust(df: DataFrame, keys: Sequence[str], value: str, floor: Column | float = 0.0) -> DataFrame:
-    """Median and 1.4826*MAD (not below ``floor``) per group, with quartile and 95th percentile."""
-    centred = df.withColumn("_med", F.median(value).over(Window.partitionBy(*keys)))
-    return centred.groupBy(*keys).agg(
-        F.max("_med").alias("median"),
-        (F.median(F.abs(F.col(value) - F.col("_med"))) * MAD_SCALE).alias("_mad"),
-        F.percentile(value, 0.25).alias("q25"),
-        F.percentile(value, 0.95).alias("q95"),
-        F.count(value).alias("n_obs"),
-    ).withColumn("robust_std", F.greatest(F.col("_mad"), floor if isinstance(floor, Column) else F.lit(float(floor)))).drop("_mad")
+    """Median and 1.4826*MAD (not below ``floor``) per group, with quartile and 95th percentile.
 
+    The values are ranked once, in ranges, whatever the size of a group; the deviations are those of the ranked points,
+    each as often as it occurs, and are ranked the same way.
+    """
+    points = running_totals(df, keys, value, {"n": F.lit(1)})
+    centre = quantiles_of(points, keys, value, {"median": 0.5, "q25": 0.25, "q95": 0.95}, count="n_obs")
+    off = points.select(*keys, value, "n").join(centre.select(*keys, "median"), list(keys)).withColumn("_off", F.abs(F.col(value) - F.col("median")))
+    spread = quantiles_of(running_totals(off, keys, "_off", {"n": F.col("n")}), keys, "_off", {"_mad": 0.5}).withColumn("_mad", F.col("_mad") * MAD_SCALE)
+    return centre.join(spread, list(keys)).withColumn("robust_std", F.greatest(F.col("_mad"), floor if isinstance(floor, Column) else F.lit(float(floor)))).drop("_mad")
 
-def baseline_long(features: DataFrame, cfg: SystemConfig) -> DataFrame:
-    """Baseline as (pump_id, kind, name, median, robust_std, q25, q95, n_obs).
 
-    A group holds one value per operation period of one pump.
-    """
+def baseline_long(features: DataFrame, cfg: SystemConfig) -> DataFrame:
+    """Baseline as (pump_id, kind, name, median, robust_std, q25, q95, n_obs)."""
     floor = F.lit(0.0)
     for kind, value in STD_FLOOR.items():
         floor = F.when(F.col("kind") == kind, value).otherwise(floor)
