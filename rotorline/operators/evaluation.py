@@ -202,7 +202,7 @@ def dominant_mode(ranking: DataFrame, top: int = 5) -> DataFrame:
 # --- thresholds on both levels ---------------------------------------------
 
 
-def step_histogram(steps: DataFrame, thresholds: DataFrame, multipliers: Sequence[float]) -> DataFrame:
+def step_histogram(steps: DataFrame, thresholds: DataFrame, multipliers: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Steps per day by how many warning multipliers each level exceeds.
 
     An alert is ``l1 >= w1*m1`` or ``l2 >= w2*m2``, so these counts answer every grid point: the steps are
@@ -216,12 +216,12 @@ def step_histogram(steps: DataFrame, thresholds: DataFrame, multipliers: Sequenc
         return sum(tests[1:], tests[0])
 
     joined = steps.join(thresholds.select("pump_id", "l1_warning", "l2_warning"), "pump_id")
-    return joined.groupBy(*SEG, "label", passed("l1", "l1_warning").alias("b1"), passed("l2", "l2_warning").alias("b2")).agg(
+    return joined.groupBy(*by, *SEG, "label", passed("l1", "l1_warning").alias("b1"), passed("l2", "l2_warning").alias("b2")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
-def day_alerts(hist: DataFrame, multipliers: Sequence[float], min_steps: int) -> DataFrame:
+def day_alerts(hist: DataFrame, multipliers: Sequence[float], min_steps: int, by: Sequence[str] = ()) -> DataFrame:
     """Flagged days for each (l1, l2) warning multiplier pair, from a summed-area table per day.
 
     A day has one row per cell of the grid, (n+1)^2 of them. Running sums along one axis and then the other give the
@@ -230,10 +230,10 @@ def day_alerts(hist: DataFrame, multipliers: Sequence[float], min_steps: int) ->
     ms = sorted(float(m) for m in multipliers)
     width = len(ms) + 1
     cell = (F.col("b1") * width + F.col("b2")).cast("int")
-    days = hist.groupBy(*SEG, "label").agg(F.map_from_entries(F.collect_list(F.struct(cell, "n"))).alias("_n"), F.sum("n").alias("_all"))
+    day = [*by, *SEG, "label"]
+    days = hist.groupBy(*day).agg(F.map_from_entries(F.collect_list(F.struct(cell, "n"))).alias("_n"), F.sum("n").alias("_all"))
     dense = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("_c")).withColumns({
         "i": F.floor(F.col("_c") / width).cast("int"), "j": F.col("_c") % width, "n": F.coalesce(F.try_element_at("_n", "_c"), F.lit(0))})
-    day = [*SEG, "label"]
     dense = dense.withColumn("n", F.sum("n").over(so_far(Window.partitionBy(*day, "i").orderBy("j"))))
     dense = dense.withColumn("n", F.sum("n").over(so_far(Window.partitionBy(*day, "j").orderBy("i"))))
     mult = F.array(*[F.lit(m) for m in ms])
@@ -296,24 +296,28 @@ def multiplier_search(steps: DataFrame, thresholds: DataFrame, resolution: int,
 
 
 def holdout_check(opt: DataFrame, holdout: DataFrame, thresholds: DataFrame, best: tuple[float, float], min_steps: int) -> DataFrame:
-    """Multipliers against the baseline on held-out days, with the acceptance rule."""
-    m1, m2 = best
-    scaled = thresholds.withColumns({"l1_warning": F.col("l1_warning") * m1, "l2_warning": F.col("l2_warning") * m2})
-
-    def total(df: DataFrame, th: DataFrame, name: str) -> DataFrame:
-        r = evaluate_thresholds(df, th, min_steps).where(F.col("pump_id").isNull())
-        return r.select(F.col("fa_rate").alias(name), F.col("detection_rate").alias(f"{name}_det"))
-
-    out = total(holdout, scaled, "new")
-    for df, th, name in ((holdout, thresholds, "base"), (opt, scaled, "opt_new"), (opt, thresholds, "opt_base")):
-        one = total(df, th, name)
-        out = out.withColumns({c: one.select(c).scalar() for c in one.columns})
-    new_pumps = evaluate_thresholds(holdout, scaled, min_steps).select("pump_id", F.col("detection_rate").alias("_n"))
-    old_pumps = evaluate_thresholds(holdout, thresholds, min_steps).select("pump_id", F.col("detection_rate").alias("_o"))
-    worse = new_pumps.where(F.col("pump_id").isNotNull()).join(old_pumps, "pump_id").agg(
-        F.count(F.when(F.col("_n") < F.col("_o"), 1)).alias("pumps_worse")
-    )
-    out = out.withColumn("pumps_worse", worse.scalar())
+    """Multipliers against the baseline on held-out days, with the acceptance rule.
+
+    Both sets of days and both pairs of multipliers are cells of one histogram: one pass over the steps.
+    """
+    m1, m2 = (float(m) for m in best)
+    ms = sorted({1.0, m1, m2})
+    steps = opt.withColumn("_held", F.lit(False)).unionByName(holdout.withColumn("_held", F.lit(True)))
+    flags = day_alerts(step_histogram(steps, thresholds, ms, ["_held"]), ms, min_steps, ["_held"])
+    pair = lambda a, b: (F.col("l1_mult") == a) & (F.col("l2_mult") == b)
+    kinds = F.array_compact(F.array(F.when(pair(m1, m2), F.lit("new")), F.when(pair(1.0, 1.0), F.lit("base"))))
+    table = rates(flags.withColumn("_kind", F.explode(kinds)), ["_held", "_kind"])
+
+    def value(name: str, held: bool, kind: str) -> Column:
+        return F.max(F.when((F.col("_held") == held) & (F.col("_kind") == kind), F.col(name)))
+
+    wide = table.groupBy("pump_id").agg(
+        value("fa_rate", True, "new").alias("new"), value("fa_rate", True, "base").alias("base"), value("fa_rate", False, "new").alias("opt_new"),
+        value("fa_rate", False, "base").alias("opt_base"), value("detection_rate", True, "new").alias("new_det"), value("detection_rate", True, "base").alias("base_det"))
+    everyone = F.col("pump_id").isNull()
+    out = wide.agg(
+        *[F.max(F.when(everyone, F.col(c))).alias(c) for c in ("new", "base", "opt_new", "opt_base", "new_det")],
+        F.count(F.when(~everyone & (F.col("new_det") < F.col("base_det")), 1)).alias("pumps_worse"))
     cut = (F.col("base") - F.col("new")) * 100.0
     gap = F.abs((F.col("opt_base") - F.col("opt_new")) * 100.0 - cut)
     accepted = (cut >= HOLDOUT["fa_cut_pp"]) & (F.col("pumps_worse") == 0) & (gap < HOLDOUT["overfit_pp"])
