@@ -19,7 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id: SimHash pairs by segment bit counts, as in
+    ``op10_simhash``, and MinHash pairs beyond their reach, all compared exactly."""
     return nearcopies.keep_one(docs)
 
 

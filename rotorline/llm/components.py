@@ -26,11 +26,12 @@ def components(edges: DataFrame, per_task: int | None = None) -> DataFrame:
 
     Rounds are a logarithm of the longest path; each is written to the shared folder. No node's links are collected.
     With ``per_task`` a step has as many tasks as the links need at that many for each, whatever the session's number of
-    shuffle partitions: many rounds over few links are then not all overhead.
+    shuffle partitions: many rounds over few links are then not all overhead. The links are counted first, so they should
+    have been written before.
     """
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    tasks = pairs.count() // per_task + 1 if per_task else 0
+    tasks = edges.count() // per_task + 1 if per_task else 0
     few = (lambda df: df.coalesce(tasks)) if per_task else (lambda df: df)
+    pairs = cut(few(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     before = None
     while True:
         sign = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import DataFrame
 
-from rotorline.llm import nearcopies
+from rotorline.llm import nearcopies, simhash
 
 
 def plain_set(text):
@@ -98,3 +98,48 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept if r.doc_id != 7) == [(False, 3, ""), (True, 0, "alone it is")]
     assert sum(r.doc_id == 7 for r in kept) == 1 and len(kept) == 3
     assert nearcopies.keep_one(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_fingerprints_are_those_of_simhash(texts):
+    for t in [*texts, None, "x " * 40_000]:
+        assert nearcopies.voted(nearcopies.hashes_of(t)) == simhash.fingerprint(t, nearcopies.SHINGLE)
+
+
+def test_fingerprint_pairs_are_candidates_of_their_own(spark):
+    """Points that share no band still meet by equal or close fingerprints and are compared exactly."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(["begin", *words]), " ".join(f"x{w}" for w in words)]
+    points = []
+    for i, t in enumerate(texts):
+        found = nearcopies.shingles(t)
+        points.append((i, i, len(found), simhash.fingerprint(t, nearcopies.SHINGLE), [1000 * i + k for k in range(nearcopies.BANDS)], *nearcopies.sketched(nearcopies.signature(found))))
+    assert all((points[0][3] ^ p[3]).bit_count() <= simhash.BITS for p in points[:3])
+    sketch = "".join(f", {c} long" for c in nearcopies.SKETCH)
+    known = spark.createDataFrame(points, f"fp long, key long, size long, print long, bands array<long>{sketch}")
+    found = nearcopies.links(known, spark.createDataFrame(list(enumerate(texts)), "key long, text string"), 0.8)
+    assert {x for r in found.collect() for x in (r["a"], r["b"])} == {0, 1, 2}
+
+
+def test_steps_have_as_many_tasks_as_rows_need(spark, texts):
+    """Many shuffle partitions do not make many tasks: each would leave files and an event of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = []
+    cut = nearcopies.cut
+
+    def noted(df):
+        out = cut(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    nearcopies.cut = noted
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        nearcopies.keep_one(frame(spark, list(enumerate(texts)))).count()
+    finally:
+        nearcopies.cut = cut
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    # The fingerprints and the points themselves come as they are dealt.
+    assert max(parts[2:]) == 1
