@@ -17,7 +17,7 @@ N_TREES, TREE_ROWS = 200, 256
 LOF_NEIGHBOURS, LOF_REFERENCE, LOF_OFFSET = 20, 15_000, 1.5
 KEEP_VARIANCE = 0.95
 EULER = 0.5772156649015329
-BLOCK_ROWS = 1024
+BLOCK_CELLS = 1_000_000  # distances held at a time, by rows and reference rows
 # ---------------------------------------------------------------------------
 
 
@@ -108,13 +108,14 @@ def isolation_forest(train: DataFrame, df: DataFrame, vector: str, key: Sequence
 def _nearest(x: np.ndarray, ref: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distances and positions of the k nearest reference rows; ``skip`` names each row's own position."""
     dist, pos = [], []
-    for start in range(0, len(x), BLOCK_ROWS):
-        block = x[start:start + BLOCK_ROWS]
+    rows = max(1, BLOCK_CELLS // max(len(ref), 1))
+    for start in range(0, len(x), rows):
+        block = x[start:start + rows]
         d2 = (block**2).sum(1)[:, None] + (ref**2).sum(1)[None, :] - 2.0 * block @ ref.T
         near = np.argpartition(d2, min(k + 1, len(ref) - 1), axis=1)[:, : min(k + 2, len(ref))]
         exact = np.sqrt(((block[:, None, :] - ref[near]) ** 2).sum(axis=2))
         if skip is not None:
-            exact = np.where(near == skip[start:start + BLOCK_ROWS][:, None], np.inf, exact)
+            exact = np.where(near == skip[start:start + rows][:, None], np.inf, exact)
         order = np.argsort(exact, axis=1, kind="stable")[:, :k]
         dist.append(np.take_along_axis(exact, order, axis=1))
         pos.append(np.take_along_axis(near, order, axis=1))
