@@ -4,11 +4,12 @@ from __future__ import annotations
 
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rotorline.streaming import jobs
-from rotorline.streaming.detector import detect_stream, stored_state
+from rotorline.streaming.detector import Detector, detect_stream, stored_state
 from rotorline.streaming.step import DAY_US, NEAR_US, PumpState, StepConfig, smooth_day, step
 
 US0 = 1_704_153_600_000_000  # 2024-01-02 UTC
@@ -194,3 +195,76 @@ def test_a_new_query_takes_over_stored_state(spark, tmp_path):
 def test_training_mean_is_required(spark):
     with pytest.raises(ValueError):
         detect_stream(frame(spark, make_rows(1, 5)), StepConfig(3, np.zeros(2), np.ones(2), np.array([np.nan, 0.0])), ["a", "b"])
+
+
+class Store:
+    """The state of one pump in memory, which counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def __call__(self, name, *schemas):
+        return Variable(self, name)
+
+    getValueState = getListState = getMapState = __call__
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Variable:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        self.store.calls += 1
+        return self.name in self.store.held
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.held.get(self.name, ())
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.held[self.name] = value
+
+    put = update
+
+    def appendValue(self, value):
+        self.update([*self.store.held.get(self.name, ()), value])
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.held.pop(self.name, None)
+
+
+class Now:
+    def __init__(self, us):
+        self.getCurrentWatermarkInMs = lambda: us // 1000
+
+
+@pytest.mark.parametrize("n", [10, 100, 3000])
+def test_calls_to_the_state_do_not_grow_with_rows(n):
+    rows, cfg, store = make_rows(3, n), config(3), Store()
+    detector = Detector(cfg, ["a", "b"])
+    detector.init(store)
+    given = {"reset": False, "season": "winter", "l1_distance": 1.0, **BASE}
+    frame = pd.DataFrame([{"us": us, **given, "a": v[0], "b": v[1]} for us, v in rows])
+    # Shuffled, a third of the rows twice in one batch, and all rows up to the middle again with a larger value.
+    again = frame[: n // 2].assign(a=frame.a[: n // 2] + 1).dropna(subset=["a"])
+    for part in (pd.concat([frame, frame[::3]]).sample(frac=1, random_state=1), again):
+        list(detector.handleInputRows((1,), iter([part]), None))
+    assert store.calls <= 8
+    middle = rows[n // 2][0] // 1000 * 1000
+    got = [r for us in (middle, rows[-1][0] + 1_000_000) for out in detector.handleExpiredTimer((1,), Now(us), None) for r in out.itertuples()]
+    assert store.calls <= 20 + 2 * (n // 1024) and "waiting" not in store.held
+    want = sequential({1: rows}, cfg)
+    assert [r.ts.value // 1000 for r in got] == [us for us, _ in rows]
+    for r, w in zip(got, want.values()):
+        assert (r.step, r.status, r.alert_fired) == (w["step"], w["status"], w["alert_fired"])
+        assert np.isnan(r.l2_raw) if w["l2_raw"] is None else r.l2_raw == pytest.approx(w["l2_raw"], rel=1e-12)
