@@ -72,8 +72,8 @@ def day_rollup(spark: Spark, sf: str) -> DataFrame:
     return shape(jobs.run_available(jobs.day_rollup(steps)))
 
 
-def _model(spark: Spark, sf: str) -> tuple[SpeedLine, DataFrame, DataFrame, StepConfig]:
-    """Everything the stream needs, learned in batch: lines, resolved thresholds, scaling."""
+def _model(spark: Spark, sf: str) -> tuple[DataFrame, SpeedLine, DataFrame, DataFrame, StepConfig]:
+    """The readings, and everything the stream needs, learned in batch: lines, resolved thresholds, scaling."""
     r = V.grid(spark, sf)
     line = SpeedLine("speed", V.OUTPUTS).fit(r)
     res = V.residual_rows(spark, sf, r)
@@ -89,7 +89,7 @@ def _model(spark: Spark, sf: str) -> tuple[SpeedLine, DataFrame, DataFrame, Step
     p = {x["channel"]: x for x in norm_params(r.where(F.col("label") == "normal"), V.FILLED).collect()}
     mean = np.array([p[c]["mean"] for c in V.FILLED])
     std = np.array([p[c]["std"] or 1.0 for c in V.FILLED])
-    return line, materialize(level1), materialize(level2), StepConfig(V.HISTORY, mean, std, mean)
+    return r.drop("label", "season"), line, materialize(level1), materialize(level2), StepConfig(V.HISTORY, mean, std, mean)
 
 
 # --- the keyed detector --------------------------------------------------------
@@ -172,8 +172,8 @@ def _streamed(spark: Spark, sf: str, season: Callable[[Column, Column], Column]
     """All readings through the detector: four time slices, stopped half-way and started again; what came out and the
     checkpoint. ``carry_state`` starts the second half as a new query from the state that the first one left."""
     spark.conf.set(*STATE_STORE)
-    line, level1, level2, cfg = _model(spark, sf)
-    rows = materialize(V.readings(spark, sf).withColumns({"reset": F.lit(False), "heartbeat": F.lit(False)}))
+    readings, line, level1, level2, cfg = _model(spark, sf)
+    rows = readings.withColumns({"reset": F.lit(False), "heartbeat": F.lit(False)})
     pumps = rows.select("pump_id").distinct()
     first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     base, cut, at = jobs.scratch(spark), [first + (last - first) * q // 4 for q in range(5)], CONTROL_US

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rotorline.streaming import jobs
 from rotorline.streaming.detector import Detector, detect_stream, stored_state
-from rotorline.streaming.step import DAY_US, NEAR_US, PumpState, StepConfig, smooth_day, step
+from rotorline.streaming.step import DAY_US, NEAR_US, PumpState, StepConfig, smooth_day, step, steps
 
 US0 = 1_704_153_600_000_000  # 2024-01-02 UTC
 
@@ -79,6 +79,23 @@ def test_bounded_buffer_equals_unbounded(seed, history):
             assert a == pytest.approx(c, rel=1e-9) and b == pytest.approx(d, rel=1e-9)
 
 
+@pytest.mark.parametrize("history", [1, 3, 13])
+def test_steps_together_equal_steps_one_by_one(history):
+    cfg, rng = config(history), np.random.default_rng(history)
+    for seed in range(8):
+        rows = [{**BASE, "us": us, "values": v} for us, v in make_rows(seed, 200)]
+        if seed % 2:
+            rows[90]["us"] -= 2 * DAY_US  # behind the state, as a hand-over may bring it
+        one, many, got = PumpState(), PumpState(), []
+        want = [step(one, cfg, r) for r in rows]
+        while len(got) < len(rows):
+            got += steps(many, cfg, rows[len(got):len(got) + int(rng.integers(1, 50))])
+        for a, b in zip(got, want):
+            assert a == {k: pytest.approx(v, rel=1e-12) if isinstance(v, float) else v for k, v in b.items()}
+        assert [r[:2] for r in many.rows] == [r[:2] for r in one.rows]
+        assert all(np.array_equal(a[2], b[2], equal_nan=True) for a, b in zip(many.rows, one.rows))
+
+
 def test_warm_up_and_missing_level_one():
     cfg, state = config(3), PumpState()
     seen = [step(state, cfg, {**BASE, "us": US0 + i * 300_000_000, "values": np.zeros(2), "l1_status": "WARNING"}) for i in range(8)]
