@@ -1,8 +1,8 @@
-"""Outlier models that score any number of rows against a model of fixed size."""
+"""Outlier models that score any number of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorline.config import SystemConfig
-from rotorline.operators.features import sample_rows
+from rotorline.session import materialize
 
 # --- Fixed values -----------------------------------------------------------
 N_TREES, TREE_ROWS = 200, 256
-LOF_NEIGHBOURS, LOF_REFERENCE, LOF_OFFSET = 20, 15_000, 1.5
+LOF_NEIGHBOURS, LOF_REFERENCE, LOF_OFFSET = 20, 15_000, 1.5  # LOF_REFERENCE: rows that meet one tile in one task
 KEEP_VARIANCE = 0.95
 EULER = 0.5772156649015329
 BLOCK_CELLS = 1_000_000  # distances held at a time, by rows and reference rows
+CELL_BITS, TILE_BITS = 9, 13  # a cell holds 512 different vectors at most, a tile the cells of 8 192
+AXIS_BITS, LAYOUT_BITS = 8, 128
 # ---------------------------------------------------------------------------
 
 
@@ -105,67 +107,218 @@ def isolation_forest(train: DataFrame, df: DataFrame, vector: str, key: Sequence
     return df.withColumn(out, score(vector))
 
 
-def _nearest(x: np.ndarray, ref: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and positions of the k nearest reference rows; ``skip`` names each row's own position."""
-    dist, pos = [], []
+def _nearest(x: np.ndarray, ref: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and positions of the k nearest reference rows, of equal distances the first positions.
+
+    Products choose the candidates, with room for their rounding; the distances are sums of squared differences.
+    """
+    dist, pos = [np.empty((0, k))], [np.empty((0, k), dtype=int)]
     rows = max(1, BLOCK_CELLS // max(len(ref), 1))
+    centre = ref.mean(axis=0)
+    near_ref = ref - centre
+    ref_norm = (near_ref**2).sum(axis=1)
+    room = 16.0 * np.finfo(float).eps * (ref.shape[1] + 4)
     for start in range(0, len(x), rows):
         block = x[start:start + rows]
-        d2 = (block**2).sum(1)[:, None] + (ref**2).sum(1)[None, :] - 2.0 * block @ ref.T
-        near = np.argpartition(d2, min(k + 1, len(ref) - 1), axis=1)[:, : min(k + 2, len(ref))]
-        exact = np.sqrt(((block[:, None, :] - ref[near]) ** 2).sum(axis=2))
-        if skip is not None:
-            exact = np.where(near == skip[start:start + rows][:, None], np.inf, exact)
-        order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-        dist.append(np.take_along_axis(exact, order, axis=1))
-        pos.append(np.take_along_axis(near, order, axis=1))
+        shifted = block - centre
+        norm = (shifted**2).sum(axis=1)
+        d2 = norm[:, None] + ref_norm[None, :] - 2.0 * shifted @ near_ref.T
+        limit = np.partition(d2, k - 1, axis=1)[:, k - 1] + room * (norm + ref_norm.max())
+        row, col = np.nonzero(~(d2 > limit[:, None]))
+        exact = _length(block, ref, row, col)
+        order = np.lexsort((col, exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        dist.append(exact[first].reshape(-1, k))
+        pos.append(col[first].reshape(-1, k))
     return np.vstack(dist), np.vstack(pos)
 
 
-def _density(dist: np.ndarray, kdist_of: np.ndarray) -> np.ndarray:
-    return 1.0 / (np.maximum(dist, kdist_of).mean(axis=1) + 1e-10)
+def _length(x: np.ndarray, ref: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(row))
+    for a in range(x.shape[1]):
+        total += (x[row, a] - ref[col, a]) ** 2
+    return np.sqrt(total)
 
 
-def local_outlier_factor(train: DataFrame, df: DataFrame, vector: str, key: Sequence[str], k: int = LOF_NEIGHBOURS,
-                         max_reference: int = LOF_REFERENCE, seed: int = 42, out: str = "lof") -> DataFrame:
-    """Local outlier factor of every row against a reference sample of at most ``max_reference`` rows (about
-    15 000 by default, a documented bound of the model: raise it to use more of the training rows).
+def _to_boxes(x: np.ndarray, low: np.ndarray, high: np.ndarray, far: bool = False) -> np.ndarray:
+    """Distance of every row to the nearest (``far``: the farthest) point of every box. Summed as ``_length`` does, so that
+    rounding cannot place a row of the box nearer."""
+    total = np.zeros((len(x), len(low)))
+    for a in range(x.shape[1]):
+        below, above = low[None, :, a] - x[:, None, a], x[:, None, a] - high[None, :, a]
+        total += (np.minimum(below, above) if far else np.maximum(np.maximum(below, above), 0.0)) ** 2
+    return np.sqrt(total)
 
-    Sampling the reference is the operator's definition (the whole set when it is smaller). Its neighbour
-    lists are computed in parallel; only the reference itself, bounded by ``max_reference``, is broadcast.
-    Score = factor - 1.5, higher is worse.
-    """
-    reference = sample_rows(train.select(*key, vector), max_reference, list(key), seed=seed).collect()
-    ref = np.array([r[vector] for r in reference], dtype=float)
-    k = min(k, len(ref) - 1)
-    spark = df.sparkSession
-    shared_ref = spark.sparkContext.broadcast(ref)
-    # Positions travel, vectors are read from the broadcast.
-    places = spark.range(len(ref)).repartition(max(1, min(spark.sparkContext.defaultParallelism, len(ref) // 64 + 1)))
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared_ref.value
-        for pdf in batches:
-            own = pdf["id"].to_numpy()
-            dist, pos = _nearest(table[own], table, k, skip=own)
-            yield pd.DataFrame({"id": own, "dist": list(dist), "pos": list(pos.astype(np.int64))})
-
-    found = places.mapInPandas(neighbours, "id long, dist array<double>, pos array<long>").collect()
-    found.sort(key=lambda r: r["id"])
-    dist, pos = np.array([r["dist"] for r in found]), np.array([r["pos"] for r in found])
-    kdist = dist[:, -1]
-    lrd = _density(dist, kdist[pos])
-    shared = spark.sparkContext.broadcast((kdist, lrd))
 
-    @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
+def _reach(dist: np.ndarray, copies: np.ndarray, want: int) -> np.ndarray:
+    """Distance within which each row has ``want`` copies; infinite where there are fewer. Distances ascend in a row."""
+    enough = np.cumsum(copies, axis=1) >= want
+    return np.where(enough.any(axis=1), dist[np.arange(len(dist)), enough.argmax(axis=1)], np.inf)
+
+
+def _layout(cuts: np.ndarray):
+    """Codes that sort near vectors together: quantile steps of the axes, their bits interleaved, wide axes first."""
+    spread = cuts[:, -1] - cuts[:, 0]
+    used, turns = np.zeros(len(cuts), dtype=int), []
+    for _ in range(min(LAYOUT_BITS, AXIS_BITS * len(cuts))):
+        axis = int(np.argmax(np.where(used < AXIS_BITS, spread / 2.0**used, -1.0)))
+        used[axis] += 1
+        turns.append((axis, AXIS_BITS - int(used[axis])))
+
+    @F.pandas_udf("binary")
+    def code(column: pd.Series) -> pd.Series:
         if not len(column):
-            return pd.Series([], dtype=float)
-        table, (kd, density) = shared_ref.value, shared.value
-        d, p = _nearest(_matrix(column), table, k)
-        return pd.Series(density[p].mean(axis=1) / _density(d, kd[p]) - LOF_OFFSET)
+            return pd.Series([], dtype=object)
+        x = _matrix(column)
+        step = [np.searchsorted(c, x[:, a], side="right") for a, c in enumerate(cuts)]
+        bits = np.stack([(step[a] >> b) & 1 for a, b in turns], axis=1).astype(np.uint8)
+        return pd.Series([r.tobytes() for r in np.packbits(bits, axis=1)])
+
+    return code
+
+
+def _within(x: np.ndarray, radius: np.ndarray, tile: pd.DataFrame, want: int) -> tuple[np.ndarray, pd.DataFrame]:
+    """The ``want`` nearest reference rows of a tile that lie within each row's radius, and the radii, shorter where the
+    tile has ``want``. Cells are visited from the nearest box on, while the box is within the radius."""
+    tile = tile[tile["_places"].map(len) > 0]
+    tile = tile.iloc[np.argsort([p[0] for p in tile["_places"]])]
+    ref, cell, held = _matrix(tile["_x"]), tile["_cell"].to_numpy(), np.append(tile["_places"].map(len), 0).astype(int)
+    radius = radius.copy()
+    dist, pos = np.full((len(x), want), np.inf), np.full((len(x), want), len(ref))
+    members = [np.flatnonzero(cell == c) for c in np.unique(cell)]
+    if members:
+        gaps = _to_boxes(x, np.array([ref[m].min(axis=0) for m in members]), np.array([ref[m].max(axis=0) for m in members]))
+        turns = np.argsort(gaps, axis=1)
+    for turn in range(len(members)):
+        visited = turns[:, turn]
+        near = gaps[np.arange(len(x)), visited] <= radius
+        for c in np.unique(visited[near]):
+            rows = np.flatnonzero(near & (visited == c))
+            d, p = _nearest(x[rows], ref[members[c]], min(want, len(members[c])))
+            d, p = np.hstack([dist[rows], d]), np.hstack([pos[rows], members[c][p]])
+            first = np.lexsort((p, d), axis=1)[:, :want]
+            dist[rows], pos[rows] = np.take_along_axis(d, first, axis=1), np.take_along_axis(p, first, axis=1)
+            radius[rows] = np.minimum(radius[rows], _reach(dist[rows], held[pos[rows]], want))
+    row, slot = np.nonzero((dist <= radius[:, None]) & (pos < len(ref)))
+    found = pos[row, slot]
+    again = held[found]
+    nth = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+    places = np.concatenate([np.empty(0, dtype=np.int64), *tile["_places"]])
+    return radius, pd.DataFrame({
+        "row": np.repeat(row, again), "_d": np.repeat(dist[row, slot], again),
+        "_place": places[np.repeat((np.cumsum(held) - held)[found], again) + nth], "_ref": np.repeat(tile["_id"].to_numpy()[found], again),
+    })
+
+
+def _neighbours(points: DataFrame, want: int, boxes: Sequence) -> DataFrame:
+    """The ``want`` nearest reference rows of every point in the order of distance and place: ``_id``, ``_d``, ``_place``,
+    ``_ref`` (the point whose copy it is), ``_k``.
+
+    A point is searched in its own tile first, which gives it a radius (or the boxes of all do), and then in every other
+    tile that has a box within the radius. No row is left out.
+    """
+    shared = points.sparkSession.sparkContext.broadcast((
+        np.array([b["_cell"] for b in boxes], dtype=np.int64) >> (TILE_BITS - CELL_BITS), np.array([b["n"] for b in boxes], dtype=np.int64),
+        np.array([b["low"] for b in boxes], dtype=float), np.array([b["high"] for b in boxes], dtype=float),
+    ))
+    lists = ["_d", "_place", "_ref"]
+
+    def route(pdf: pd.DataFrame) -> pd.DataFrame:
+        tiles, copies, low, high = shared.value
+        pdf = pdf.sort_values("_id")
+        x = _matrix(pdf["_x"])
+        radius, found = _within(x, np.full(len(x), np.inf), pdf, want)
+        ends = np.searchsorted(found["row"], np.arange(1, len(x)))
+        rows = max(1, BLOCK_CELLS // len(tiles))
+        open_rows = np.flatnonzero(np.isinf(radius))
+        for start in range(0, len(open_rows), rows):
+            some = open_rows[start:start + rows]
+            far = _to_boxes(x[some], low, high, far=True)
+            order = np.argsort(far, axis=1)
+            radius[some] = _reach(np.take_along_axis(far, order, axis=1), copies[order], want)
+        targets, cell = [], pdf["_cell"].to_numpy()
+        for c in np.unique(cell):  # rows of one cell lie together: most boxes are too far for all of them
+            own = np.flatnonzero(cell == c)
+            apart = np.maximum(np.maximum(low - x[own].max(axis=0), x[own].min(axis=0) - high), 0.0)
+            close = np.flatnonzero((_to_boxes(np.zeros((1, x.shape[1])), apart, apart)[0] <= radius[own].max()) & (tiles != pdf["_tile"].iloc[0]))
+            for start in range(0, len(own), rows):
+                some = own[start:start + rows]
+                hit = _to_boxes(x[some], low[close], high[close]) <= radius[some, None]
+                targets += [np.unique(tiles[close[h]]) for h in hit]
+        return pd.DataFrame({"_id": pdf["_id"], "_x": pdf["_x"], "_radius": radius, "_tiles": targets, **{c: np.split(found[c].to_numpy(), ends) for c in lists}})
+
+    routed = materialize(points.groupBy("_tile").applyInPandas(
+        route, "_id long, _x array<double>, _radius double, _tiles array<long>, _d array<double>, _place array<long>, _ref array<long>"))
+    visits = routed.select("_id", "_x", "_radius", F.explode("_tiles").alias("_tile"))
+    # A tile that many points come near is searched in several tasks.
+    tasks = visits.groupBy("_tile").agg(F.ceil(F.count(F.lit(1)) / LOF_REFERENCE).cast("int").alias("_tasks"))
+    asked = visits.join(tasks, "_tile").withColumn("_task", F.pmod(F.xxhash64("_id"), F.col("_tasks")).cast("int"))
+    held = points.join(tasks, "_tile").withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
+
+    def search(rows: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+        _, found = _within(_matrix(rows["_x"]), rows["_radius"].to_numpy(), tile, want)
+        return found.assign(_id=rows["_id"].to_numpy()[found["row"]])[["_id", *lists]]
+
+    far = asked.select("_tile", "_task", "_id", "_x", "_radius").groupBy("_tile", "_task").cogroup(
+        held.where(F.size("_places") > 0).select("_tile", "_task", "_id", "_cell", "_x", "_places").groupBy("_tile", "_task")
+    ).applyInPandas(search, "_id long, _d double, _place long, _ref long")
+    near = routed.select("_id", F.inline(F.arrays_zip(*lists)))
+    w = Window.partitionBy("_id").orderBy("_d", "_place")
+    return near.unionByName(far).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= want)
 
-    return df.withColumn(out, score(vector))
+
+def local_outlier_factor(train: DataFrame, df: DataFrame, vector: str, key: Sequence[str], k: int = LOF_NEIGHBOURS,
+                         out: str = "lof") -> DataFrame:
+    """Local outlier factor of every row against all training rows. Score = factor - 1.5, higher is worse.
+
+    Neighbours are exact; of equal distances the rows with the smallest ``key`` count. Different vectors are searched
+    once: of copies only the first k + 1 can be among k neighbours, and all copies have one density. The vectors lie
+    in cells of up to 512 that follow each other in the layout, and 16 cells in a tile; the driver holds the cells' boxes
+    (two corners and two numbers each), a task a tile and the boxes. Vectors with a null have no score, those with a NaN the score NaN, those with
+    an infinite value an infinite one, and none of them is a neighbour; fewer than two training rows give no scores.
+    """
+    x = F.col(vector).cast("array<double>")
+    usable = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    none = df.withColumn(out, F.lit(None).cast("double"))
+    # Places follow the key: a sorted frame's row numbers.
+    placed = train.where(usable).select(*key, x.alias("_x")).orderBy(*key, "_x").select("_x", F.monotonically_increasing_id().alias("_place"))
+    kept = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_x").orderBy("_place"))).where(F.col("_n") <= k + 1)
+    every = kept.select("_x", "_place").unionByName(df.where(usable).select(x.alias("_x"), F.lit(None).cast("long").alias("_place")))
+    vectors = materialize(every.groupBy("_x").agg(F.sort_array(F.collect_list("_place")).alias("_places")))
+
+    steps = [i / 2**AXIS_BITS for i in range(1, 2**AXIS_BITS)]
+    axes = vectors.select(F.posexplode("_x").alias("axis", "c")).groupBy("axis").agg(F.percentile_approx("c", steps).alias("cuts")).collect()
+    if not axes:
+        return none
+    code = _layout(np.array([r["cuts"] for r in sorted(axes, key=lambda r: r["axis"])], dtype=float))
+    parts = max(1, vectors.count() >> (TILE_BITS + 2))
+    laid = vectors.withColumn("_code", code("_x")).repartitionByRange(parts, "_code", "_x").sortWithinPartitions("_code", "_x")
+    points = materialize(laid.select(F.monotonically_increasing_id().alias("_id"), "_x", "_places").withColumns({
+        "_cell": F.shiftright("_id", CELL_BITS), "_tile": F.shiftright("_id", TILE_BITS),
+    }))
+
+    def box(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = _matrix(pdf["_x"])
+        return pd.DataFrame({"_cell": pdf["_cell"].iloc[:1], "n": [pdf["_places"].map(len).sum()], "low": [v.min(axis=0)], "high": [v.max(axis=0)]})
+
+    filled = points.where(F.size("_places") > 0)
+    boxes = filled.groupBy("_cell").applyInPandas(box, "_cell long, n long, low array<double>, high array<double>").collect()
+    want = min(k + 1, sum(b["n"] for b in boxes))
+    if want < 2:
+        return none
+
+    # A training row is its own neighbour in the list of its vector: one copy of it is left out for its density.
+    last = Window.partitionBy("_id").orderBy((F.col("_ref") == F.col("_id")).desc(), F.col("_k").desc())
+    near = materialize(_neighbours(points, want, boxes).withColumn("_other", F.row_number().over(last) > 1))
+    reach = near.join(near.groupBy(F.col("_id").alias("_ref")).agg(F.max("_d").alias("_kd")), "_ref").withColumn("_reach", F.greatest("_d", "_kd"))
+    spread = F.avg("_reach") + 1e-10
+    density = reach.where("_other").groupBy(F.col("_id").alias("_ref")).agg((1.0 / spread).alias("_lrd"))
+    factor = reach.where(F.col("_k") < want).join(density, "_ref").groupBy("_id").agg((F.avg("_lrd") * spread - LOF_OFFSET).alias("_score"))
+    scores = points.select("_id", "_x").join(factor, "_id").select("_x", "_score")
+    score = F.when(F.exists("_x", F.isnan), float("nan")).when(F.exists("_x", lambda c: F.abs(c) == float("inf")), float("inf")).otherwise(F.col("_score"))
+    score = F.when(~F.exists("_x", F.isnull), score)
+    return df.withColumn("_x", x).join(scores, "_x", "left").withColumn(out, score).select(*none.columns)
 
 
 def pca_reconstruction(train: DataFrame, df: DataFrame, vector: str, keep: float = KEEP_VARIANCE,
