@@ -294,9 +294,14 @@ def local_outlier_factor(train: DataFrame, df: DataFrame, vector: str, key: Sequ
     code = _layout(np.array([r["cuts"] for r in sorted(axes, key=lambda r: r["axis"])], dtype=float))
     parts = max(1, vectors.count() >> (TILE_BITS + 2))
     laid = vectors.withColumn("_code", code("_x")).repartitionByRange(parts, "_code", "_x").sortWithinPartitions("_code", "_x")
-    points = materialize(laid.select(F.monotonically_increasing_id().alias("_id"), "_x", "_places").withColumns({
+    laid = materialize(laid.select(F.monotonically_increasing_id().alias("_row"), "_x", "_places"))
+    # Numbers without gaps, so that tiles are full however many tasks the layout has.
+    sizes = laid.groupBy(F.shiftright("_row", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    points = laid.join(before, F.shiftright("_row", 33) == F.col("_part")).select(number.alias("_id"), "_x", "_places").withColumns({
         "_cell": F.shiftright("_id", CELL_BITS), "_tile": F.shiftright("_id", TILE_BITS),
-    }))
+    })
 
     def box(pdf: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(pdf["_x"])

@@ -92,3 +92,17 @@ def test_outlier_factor_of_odd_rows(spark):
     for n in (0, 1):
         assert set(scores(outliers.local_outlier_factor(frame(spark, x[:n]), frame(spark, x), "v", ["id"])).values()) == {None}
     assert scores(outliers.local_outlier_factor(frame(spark, x), frame(spark, []), "v", ["id"])) == {}
+
+
+def test_outlier_factor_fills_tiles(spark, monkeypatch):
+    """One tile is enough for 300 vectors, also where the layout is dealt to many tasks: nothing is sent to another."""
+    kind = type(spark.range(1))
+    plain, sizes = kind.repartitionByRange, []
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, n, *by: plain(df, 50, *by))
+    inner = outliers._neighbours
+    monkeypatch.setattr(outliers, "_neighbours", lambda points, *more: sizes.append(points.select("_tile").distinct().count()) or inner(points, *more))
+    x = np.random.default_rng(6).normal(size=(300, 3))
+    df = frame(spark, x)
+    got = scores(outliers.local_outlier_factor(df, df, "v", ["id"], k=5))
+    assert sizes == [1]
+    assert np.allclose([got[i] for i in range(300)], lof_of(x, x, 5))
