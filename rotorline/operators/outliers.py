@@ -299,9 +299,9 @@ def local_outlier_factor(train: DataFrame, df: DataFrame, vector: str, key: Sequ
     sizes = laid.groupBy(F.shiftright("_row", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     number = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    points = laid.join(before, F.shiftright("_row", 33) == F.col("_part")).select(number.alias("_id"), "_x", "_places").withColumns({
+    points = materialize(laid.join(before, F.shiftright("_row", 33) == F.col("_part")).select(number.alias("_id"), "_x", "_places").withColumns({
         "_cell": F.shiftright("_id", CELL_BITS), "_tile": F.shiftright("_id", TILE_BITS),
-    })
+    }))
 
     def box(pdf: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(pdf["_x"])
